@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,18 +48,14 @@ class Scratch:
                 p.getFileSystem(conf).delete(p, True)
 
 
-def slices(frames: Iterable[pd.DataFrame], column: str = "text", chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
-    """Splits Arrow batches into runs of rows of about so many characters, so that arrays made from them stay small.
-
-    A single longer text makes a run of its own. Nulls count as empty.
-    """
-    for f in frames:
-        if not len(f):
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Splits Arrow batches into runs of rows of about so many bytes, so that arrays made from them stay small,
+    and gives each run's texts. A single longer text makes a run of its own. Nulls count as empty."""
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        sizes = f[column].map(lambda t: 0 if t is None else len(t)).cumsum()
-        part = (sizes // chars).to_numpy()
-        begin = 0
-        for i in range(1, len(f) + 1):
-            if i == len(f) or part[i] != part[begin]:
-                yield f.iloc[begin:i]
-                begin = i
+        part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            run = batch.slice(a, b - a)
+            yield run, [t or "" for t in run.column(column).to_pylist()]
