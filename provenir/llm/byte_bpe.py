@@ -3,7 +3,7 @@
 Texts are split by the tokenizer's pattern; the distinct words of each run of documents become byte arrays, and Spark's
 higher-order functions fold the ranked merges over them: the state is the word's ids and the ranks of
 its neighbouring pairs, each step merges the leftmost pair of the lowest rank. The rank map is a literal: the ranks of
-all pairs of tokens whose bytes join to a token, as flat arrays with one bucket for each hash. Decoding
+all pairs of tokens whose bytes join to a token, in one flat array where a pair has two places. Decoding
 looks every id up in a literal array of pieces and concatenates them. Documents are independent, so there is no shuffle,
 and a run's size is bounded but for a single longer text.
 
@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,10 +30,10 @@ from pyspark.sql import functions as F
 from provenir.llm._io import slices, table
 
 LONG = 128
-RUN_BYTES = 8_000_000
+RUN_BYTES = 32_000_000
 NONE = 1 << 30
-BUCKET_BITS = 18
-MULTIPLIER = 40503 * 65537 + 2  # spreads keys of 32 bits; the product stays within 64 bits
+SLOTS = 1 << 18
+MULTIPLIERS = (2654435761, 2246822519)  # spread keys below 50257 << 16; the products stay within 63 bits
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,8 +41,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _bucket(key: int) -> int:
-    return (key * MULTIPLIER >> 20) & ((1 << BUCKET_BITS) - 1)
+def _places(key: int) -> tuple[int, int]:
+    first, second = ((key * m >> 20) & (SLOTS - 1) for m in MULTIPLIERS)
+    return first, second
 
 
 def _literal(values: list[int], kind: str) -> Column:
@@ -48,68 +51,77 @@ def _literal(values: list[int], kind: str) -> Column:
     return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), f"array<{kind}>")
 
 
-class RankMap:
-    """The literal that maps two neighbouring ids to the id, and so the rank, of their joined bytes."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        buckets: dict[int, list[int]] = {}
-        for token, rank in ranks.items():
-            for k in range(1, len(token)):
-                if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
-                    key = a << 16 | b
-                    buckets.setdefault(_bucket(key), []).append(key << 16 | rank)
-        begins, flat = [], []
-        for k in range(1 << BUCKET_BITS):
-            begins.append(len(flat))
-            flat += buckets.get(k, [])
-        self.begins, self.flat = _literal([*begins, len(flat)], "int"), _literal(flat, "bigint")
-        self.single = _literal([ranks[bytes([b])] for b in range(256)], "int")
-
-    def rank(self, a: Column, b: Column) -> Column:
-        """NONE if the bytes of both don't join to a token."""
-        key = F.shiftleft(a.cast("long"), 16).bitwiseOR(b.cast("long"))
-        return _let(
-            key,
-            lambda k: _let(
-                F.shiftright(k * F.lit(MULTIPLIER), 20).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int"),
-                lambda h: _let(
-                    self.begins[h],
-                    lambda begin: F.coalesce(
-                        F.try_element_at(F.filter(F.slice(self.flat, begin + 1, self.begins[h + 1] - begin), lambda e: F.shiftright(e, 16) == k), F.lit(1)).bitwiseAND(F.lit(65535)).cast("int"),
-                        F.lit(NONE),
-                    ),
-                ),
-            ),
-        )
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The literal that maps two neighbouring ids to the id, and so the rank, of their joined bytes.
 
-
-def _let(value: Column, body) -> Column:
+    A struct: single, the id of each byte; slots, pair << 16 | rank, each pair in one of its two places.
+    """
+    slots = [0] * SLOTS
+    for token, rank in ranks.items():
+        for k in range(1, len(token)):
+            if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
+                key = a << 16 | b
+                entry, at = key << 16 | rank, _places(key)[0]
+                for _ in range(1000):  # what stood there moves to its other place
+                    slots[at], entry = entry, slots[at]
+                    if not entry:
+                        break
+                    first, second = _places(entry >> 16)
+                    at = second if at == first else first
+                else:
+                    raise ValueError("SLOTS is too small for this vocabulary")
+    return F.struct(_literal([ranks[bytes([b])] for b in range(256)], "int").alias("single"), _literal(slots, "bigint").alias("slots"))
+
+
+def _rank(table_: Column, a: Column, b: Column) -> Column:
+    """NONE if the bytes of both don't join to a token."""
+    pair = lambda e: F.shiftright(e, 16)
+    rank = lambda e: e.bitwiseAND(F.lit(65535)).cast("int")
+
+    def found(key: Column) -> Column:
+        first, second = (F.get(table_["slots"], F.shiftright(key * F.lit(m), 20).bitwiseAND(F.lit(SLOTS - 1)).cast("int")) for m in MULTIPLIERS)
+        return _let(first, lambda e: F.when(pair(e) == key, rank(e)).otherwise(_let(second, lambda o: F.when(pair(o) == key, rank(o)).otherwise(F.lit(NONE)))))
+
+    return _let(F.shiftleft(a.cast("long"), 16).bitwiseOR(b.cast("long")), found)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Computes value once for all its uses in body."""
     return F.transform(F.array(value), body)[0]
 
 
-def fold_merges(word: Column, ranks: RankMap) -> Column:
-    """The ids of a word, given as an array of its bytes (0 to 255)."""
-    first = F.transform(word, lambda b: ranks.single[b])
-    start = _let(first, lambda ids: F.struct(ids.alias("ids"), F.transform(F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(0))), lambda b, i: ranks.rank(ids[i], b)).alias("next")))
+def fold_merges(word: Column, table_: Column) -> Column:
+    """The ids of a word, given as an array of its bytes (0 to 255), by a rank map.
+
+    The state pairs every id with the rank that it and its successor would merge at.
+    """
 
-    def merged(acc: Column, i: Column, rank: Column) -> Column:
-        ids, nxt = acc["ids"], acc["next"]
-        none = F.array().cast("array<int>")
-        left = F.when(i > 1, F.array(ranks.rank(ids[i - 2], rank))).otherwise(none)
-        right = F.when(i + 1 < F.size(ids), F.array(ranks.rank(rank, ids[i + 1]))).otherwise(none)
-        return F.struct(
-            F.concat(F.slice(ids, 1, i - 1), F.array(rank), F.slice(ids, i + 2, F.size(ids))).alias("ids"),
-            F.concat(F.slice(nxt, 1, F.greatest(i - 2, F.lit(0))), left, right, F.slice(nxt, i + 2, F.size(ids))).alias("next"),
+    def start(ids: Column) -> Column:
+        return F.transform(ids, lambda x, i: F.struct(x.alias("id"), F.when(i + 1 < F.size(ids), _rank(table_, x, F.get(ids, i + 1))).otherwise(F.lit(NONE)).alias("rank")))
+
+    def merged(acc: Column, i: Column, low: Column) -> Column:
+        """Entry i takes the id low, and the entry after it goes."""
+        kept = F.filter(acc, lambda _, j: j != i + 1)
+        return _let(
+            kept,
+            lambda kept: F.transform(
+                kept,
+                lambda x, j: F.when(j == i, F.struct(low.alias("id"), F.when(i + 1 < F.size(kept), _rank(table_, low, F.get(kept, i + 1)["id"])).otherwise(F.lit(NONE)).alias("rank")))
+                .when(j == i - 1, F.struct(x["id"].alias("id"), _rank(table_, x["id"], low).alias("rank")))
+                .otherwise(x),
+            ),
         )
 
     def step(acc: Column, _: Column) -> Column:
         return _let(
-            F.coalesce(F.array_min(acc["next"]), F.lit(NONE)),
-            lambda low: F.when(low == NONE, acc).otherwise(_let(F.array_position(acc["next"], low).cast("int"), lambda i: merged(acc, i, low))),
+            F.transform(acc, lambda x: x["rank"]),
+            lambda next_: _let(
+                F.array_min(next_), lambda low: F.when(low == NONE, acc).otherwise(_let((F.array_position(next_, low) - 1).cast("int"), lambda i: merged(acc, i, low)))
+            ),
         )
 
     steps = F.when(F.size(word) > 1, F.sequence(F.lit(2), F.size(word))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, step, lambda acc: acc["ids"])
+    return F.aggregate(steps, _let(F.transform(word, lambda b: F.get(table_["single"], b)), start), step, lambda acc: F.transform(acc, lambda x: x["id"]))
 
 
 def _heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -136,10 +148,6 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
     """documents(doc_id, text) -> doc_id, ids array<int>."""
     # words: distinct, as bytes; long_ids: those of the words that come after them, merged already.
     out = "words array<array<smallint>>, long_ids array<array<int>>, docs array<struct<doc_id: bigint, at: array<int>>>"
-    schema = pa.schema(
-        [("words", pa.list_(pa.list_(pa.int16()))), ("long_ids", pa.list_(pa.list_(pa.int32()))), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("at", pa.list_(pa.int32()))])))]
-    )
-
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         for run, texts in slices(batches, size=RUN_BYTES):
@@ -157,15 +165,38 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
                     long_ids.append(_heap_merges(w, ranks))
             if long_ids:
                 at = [[new[k] for k in d] for d in at]
-            docs = [{"doc_id": i, "at": a} for i, a in zip(run.column("doc_id").to_pylist(), at)]
-            yield pa.RecordBatch.from_pylist([{"words": [list(w) for w in short], "long_ids": long_ids, "docs": docs}], schema)
+            bytes_ = pa.ListArray.from_arrays(
+                pa.array(np.cumsum([0, *map(len, short)]), pa.int32()), pa.array(np.frombuffer(b"".join(short), np.uint8).astype(np.int16))
+            )
+            counts, flat = np.cumsum([0, *map(len, at)]), np.fromiter(itertools.chain.from_iterable(at), np.int32)
+            docs = pa.StructArray.from_arrays([run.column("doc_id"), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(flat))], ["doc_id", "at"])
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            yield pa.RecordBatch.from_arrays([one(bytes_), one(pa.array(long_ids, pa.list_(pa.int32()))), one(docs)], ["words", "long_ids", "docs"])
 
     runs = documents.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(split, out)
-    table_ = RankMap(ranks)
-    coded = F.concat(F.transform("words", lambda w: fold_merges(w, table_)), F.col("long_ids"))
-    # A generator keeps the optimizer from copying the fold into the lookups below.
-    folded = runs.select("docs", F.explode(F.array(coded)).alias("coded"))
-    return folded.select(F.inline(F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["at"], lambda k: F.col("coded")[k])).alias("ids")))))
+    coded = F.concat(_let(rank_map(ranks), lambda m: F.transform("words", lambda w: fold_merges(w, m))), F.col("long_ids"))
+    folded = runs.select(coded.alias("coded"), "docs")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                coded, docs = batch.column("coded")[k].values, batch.column("docs")[k].values
+                flat, begins = coded.flatten().to_numpy(), coded.offsets.to_numpy()
+                begins = begins - begins[0]
+                at = docs.field("at")
+                words, ends = at.flatten().to_numpy(), at.offsets.to_numpy() - at.offsets[0].as_py()
+                sizes = np.diff(begins)[words]
+                upto = np.concatenate([[0], np.cumsum(sizes)])
+                for a in range(0, len(docs), 500):  # so many documents a batch
+                    b = min(a + 500, len(docs))
+                    w, n = words[ends[a] : ends[b]], sizes[ends[a] : ends[b]]
+                    starts = np.cumsum(n) - n
+                    ids = flat[np.repeat(begins[w] - starts, n) + np.arange(int(n.sum()))]
+                    cuts = upto[ends[a : b + 1]] - upto[ends[a]]
+                    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([docs.field("doc_id").slice(a, b - a), lists], ["doc_id", "ids"])
+
+    return folded.mapInArrow(place, "doc_id long, ids array<int>")
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
