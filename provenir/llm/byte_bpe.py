@@ -87,7 +87,7 @@ def _rank(table_: Column, a: Column, b: Column) -> Column:
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Computes value once for all its uses in body."""
-    return F.transform(F.array(value), body)[0]
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, body)
 
 
 def fold_merges(word: Column, table_: Column) -> Column:
