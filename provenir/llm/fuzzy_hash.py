@@ -4,8 +4,8 @@ A rolling hash over WINDOW bytes sets the chunk boundaries, every chunk gives on
 a fingerprint is blocksize:signature:signature at twice that block size. The block size is the smallest of
 3 * 2**k whose signature has at most LENGTH chunks, so it follows from the text alone and equal texts have equal
 fingerprints. Two fingerprints are compared where they have a block size in common: 1 - edit distance / longer
-length of those signatures, the better of two if both match, and 0 where no GRAM characters in a row occur in both
-(as unrelated signatures agree by chance) unless the signatures are equal. Runs of over three equal signature
+length of those signatures, the better of two if both match, and 0 where both have GRAM characters or more but no
+GRAM in a row occur in both (as unrelated signatures agree by chance). Runs of over three equal signature
 characters are cut to three before comparing.
 
 Defined results: a null text is empty and has the fingerprint "3::", which is like another empty one (1) and
@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,7 +81,7 @@ def likeness(a: Column, b: Column) -> Column:
         cut = lambda s: F.regexp_replace(s, r"(.)\1{3,}", "$1$1$1")
         p, q = cut(x), cut(y)
         grams = F.transform(F.sequence(F.lit(1), F.length(p) - (GRAM - 1)), lambda i: F.substring(p, i, GRAM))
-        shared = (F.length(p) >= GRAM) & F.exists(F.when(F.length(p) >= GRAM, grams).otherwise(F.array(F.lit(""))), lambda g: (g != "") & F.contains(q, g))
+        shared = (F.least(F.length(p), F.length(q)) < GRAM) | F.exists(F.when(F.length(p) >= GRAM, grams).otherwise(F.array(F.lit(""))), lambda g: (g != "") & F.contains(q, g))
         near = 1 - F.levenshtein(p, q) / F.greatest(F.length(p), F.length(q))
         return F.when(x == y, F.lit(1.0)).when(shared, near).otherwise(F.lit(0.0))
 
@@ -113,7 +112,8 @@ def with_next(documents: DataFrame) -> DataFrame:
     ids = Scratch(spark)
     plain = ids.write(rows.select("doc_id"), "ids")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted(set(plain.where("doc_id is not null").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)))
+    ranges = 4 * n  # several to a partition, which evens them out
+    cuts = sorted(set(plain.where("doc_id is not null").approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges)))
     # A row's range: how many cuts it reaches. Nulls come first.
     cut = F.lit([int(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
     part = F.when(F.col("doc_id").isNull(), 0).otherwise(_count_reached(F.col("doc_id"), cut, len(cuts)))
