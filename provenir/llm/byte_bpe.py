@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,9 +29,9 @@ from pyspark.sql import functions as F
 from provenir.llm._io import slices, table
 
 LONG = 128
-RUN_BYTES = 16_000_000
+RUN_BYTES = 24_000_000
 NONE = 1 << 30
-SLOTS = 1 << 18
+SLOTS = 1 << 19
 MULTIPLIERS = (2654435761, 2246822519)  # spread keys below 50257 << 16; the products stay within 63 bits
 
 
@@ -70,6 +69,13 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
                     at = second if at == first else first
                 else:
                     raise ValueError("SLOTS is too small for this vocabulary")
+    # An empty first place then means that the pair is in neither.
+    moved = True
+    while moved:
+        moved = False
+        for at, entry in enumerate(slots):
+            if entry and not slots[first := _places(entry >> 16)[0]]:
+                slots[first], slots[at], moved = entry, 0, True
     return F.struct(_literal([ranks[bytes([b])] for b in range(256)], "int").alias("single"), _literal(slots, "bigint").alias("slots"))
 
 
@@ -80,7 +86,7 @@ def _rank(table_: Column, a: Column, b: Column) -> Column:
 
     def found(key: Column) -> Column:
         first, second = (F.get(table_["slots"], F.shiftright(key * F.lit(m), 20).bitwiseAND(F.lit(SLOTS - 1)).cast("int")) for m in MULTIPLIERS)
-        return _let(first, lambda e: F.when(pair(e) == key, rank(e)).otherwise(_let(second, lambda o: F.when(pair(o) == key, rank(o)).otherwise(F.lit(NONE)))))
+        return _let(first, lambda e: F.when(e == 0, F.lit(NONE)).when(pair(e) == key, rank(e)).otherwise(_let(second, lambda o: F.when(pair(o) == key, rank(o)).otherwise(F.lit(NONE)))))
 
     return _let(F.shiftleft(a.cast("long"), 16).bitwiseOR(b.cast("long")), found)
 
@@ -152,7 +158,7 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
         find = regex.compile(pattern).findall
         for run, texts in slices(batches, size=RUN_BYTES):
             words: dict[str, int] = {}
-            at = [[words.setdefault(w, len(words)) for w in find(t)] for t in texts]
+            at = [np.array([words.setdefault(w, len(words)) for w in find(t)], np.int32) for t in texts]
             coded = [w.encode() for w in words]
             new, short, long_ids = [0] * len(coded), [], []
             for k, w in enumerate(coded):
@@ -163,12 +169,12 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
                 if len(w) > LONG:
                     new[k] = len(short) + len(long_ids)
                     long_ids.append(_heap_merges(w, ranks))
-            if long_ids:
-                at = [[new[k] for k in d] for d in at]
             bytes_ = pa.ListArray.from_arrays(
                 pa.array(np.cumsum([0, *map(len, short)]), pa.int32()), pa.array(np.frombuffer(b"".join(short), np.uint8).astype(np.int16))
             )
-            counts, flat = np.cumsum([0, *map(len, at)]), np.fromiter(itertools.chain.from_iterable(at), np.int32)
+            counts, flat = np.cumsum([0, *map(len, at)]), np.concatenate(at)
+            if long_ids:
+                flat = np.array(new, np.int32)[flat]
             docs = pa.StructArray.from_arrays([run.column("doc_id"), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(flat))], ["doc_id", "at"])
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             yield pa.RecordBatch.from_arrays([one(bytes_), one(pa.array(long_ids, pa.list_(pa.int32()))), one(docs)], ["words", "long_ids", "docs"])
