@@ -154,12 +154,8 @@ def with_next(documents: DataFrame) -> DataFrame:
 
 def _count_reached(value: Column, cuts: Column, n: int) -> Column:
     """By bisection over sorted cuts."""
-    low = F.lit(0)
-    size = 1 << max(0, n.bit_length() - 1)
-    while size:
-        low = F.when(F.get(cuts, low + (size - 1)) <= value, low + size).otherwise(low)
-        size //= 2
-    return low
+    steps = [1 << k for k in range(max(1, n.bit_length()))][::-1]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda low, step: F.when(F.get(cuts, low + step - 1) <= value, low + step).otherwise(low))
 
 
 def op4_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
