@@ -36,6 +36,8 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
+        # Spark deletes shuffle files once the driver's collector finds that no plan needs them.
+        self.spark._jvm.System.gc()
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

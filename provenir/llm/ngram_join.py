@@ -1,7 +1,8 @@
 """N-gram Jaccard join: adaptive multi-match prefixes over word shingles.
 
-A document's set holds the hashes of its distinct shingles of SHINGLE words (64 bits). Documents with equal sets form a
-class, and one representative of each class is joined:
+A document's set holds the hashes of its distinct shingles of SHINGLE words (64 bits). Documents with equal sets, known by
+a 64-bit hash of the set (two different ones of n share one with a probability of about n**2 / 2**65), form a class, and
+classes are joined:
 
 1. Document frequencies are counted over all shingles of all documents. Each task packs sorted 40-bit hashes as
    deltas by ranges of hashes; a range is counted in one place and gives its part of a sketch of 2**SKETCH_BITS bytes: the
@@ -144,27 +145,24 @@ def prefix(tokens: np.ndarray, sketch: np.ndarray) -> tuple[int, np.ndarray, np.
     return matches, tokens[chosen[~hot]], tokens[chosen[hot]]
 
 
-def _set_key(tokens: np.ndarray) -> tuple[int, int]:
-    low, high = np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), np.int64)
-    return int(low), int(high)
+def _set_key(tokens: np.ndarray) -> int:
+    return int(np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), np.int64)[0])
 
 
 def _sets(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and the 128 bits that stand for the set."""
+    """doc_id, n_shingles and the 64 bits k that stand for the set."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run, texts in slices(batches):
             found = shingle_sets(texts)
-            keys = np.array([_set_key(s) for s in found], np.int64).reshape(-1, 2)
-            n = pa.array([len(s) for s in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([run.column("doc_id"), n, pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["doc_id", "n_shingles", "k1", "k2"])
+            columns = [pa.array([f(s) for s in found], pa.int64()) for f in (len, _set_key)]
+            yield pa.RecordBatch.from_arrays([run.column("doc_id"), *columns], ["doc_id", "n_shingles", "k"])
 
-    return documents.mapInArrow(sets, "doc_id long, n_shingles long, k1 long, k2 long")
+    return documents.mapInArrow(sets, "doc_id long, n_shingles long, k long")
 
 
 def _prefixes(documents: DataFrame, sketch: np.ndarray) -> DataFrame:
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(sketch)
+    shared = documents.sparkSession.sparkContext.broadcast(sketch)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
@@ -173,30 +171,28 @@ def _prefixes(documents: DataFrame, sketch: np.ndarray) -> DataFrame:
             for doc_id, s in zip(run.column("doc_id").to_pylist(), shingle_sets(texts)):
                 if len(s) and doc_id is not None:
                     m, cold, hot = prefix(s, levels)
-                    rows.append((doc_id, len(s), *_set_key(s), m, cold.view(np.int64), hot.view(np.int64)))
+                    rows.append((_set_key(s), len(s), m, cold.view(np.int64), hot.view(np.int64)))
             if rows:
-                kinds = [pa.int64()] * 4 + [pa.int32()] + [pa.list_(pa.int64())] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "n", "k1", "k2", "m", "cold", "hot"])
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["k", "n", "m", "cold", "hot"])
 
-    return documents.mapInArrow(prefixes, "doc_id long, n long, k1 long, k2 long, m int, cold array<long>, hot array<long>")
+    return documents.mapInArrow(prefixes, "k long, n long, m int, cold array<long>, hot array<long>")
 
 
 def _token_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, k1, k2, tokens of the wanted(doc, k1, k2)."""
+    """k, tokens of the sets in wanted(k, doc), read from the texts of the documents doc."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run, texts in slices(batches):
+        for _, texts in slices(batches):
             found = shingle_sets(texts)
-            keys = np.array([_set_key(s) for s in found], np.int64).reshape(-1, 2)
             lists = pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([run.column("doc_id"), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], ["doc_id", "k1", "k2", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in found], pa.int64()), lists], ["k", "tokens"])
 
     ids = wanted.selectExpr("doc id").distinct()
     if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    own = documents.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(tokens, "doc_id long, k1 long, k2 long, tokens array<long>")
-    kept = own.join(wanted, (own["doc_id"] == wanted["doc"]) & (own["k1"] == wanted["k1"]) & (own["k2"] == wanted["k2"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "k1", "k2"])
+    own = documents.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(tokens, "k long, tokens array<long>")
+    return own.join(wanted, "k", "left_semi").dropDuplicates(["k"])
 
 
 def _similar_sizes(a: str, b: str) -> str:
@@ -216,47 +212,48 @@ def _grouped(rows: DataFrame, aggregates: dict[str, Column]) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links (a, b) among pairs(doc, k1, k2, doc2, k3, k4)."""
-    one = sets.select(F.col("doc_id").alias("i"), F.col("k1").alias("p"), F.col("k2").alias("q"), F.col("tokens").alias("s"))
-    two = one.select(F.col("i").alias("j"), F.col("p").alias("t"), F.col("q").alias("u"), F.col("s").alias("r"))
-    both = pairs.join(one, F.expr("doc = i and k1 = p and k2 = q")).join(two, F.expr("doc2 = j and k3 = t and k4 = u"))
-    shared = both.select(F.col("doc").alias("a"), F.col("doc2").alias("b"), (F.size("s") + F.size("r")).alias("both"), F.size(F.array_intersect("s", "r")).alias("shared"))
+    """The links among pairs (a, b) of sets."""
+    both = pairs.join(sets.toDF("x", "s"), F.col("a") == F.col("x")).join(sets.toDF("y", "r"), F.col("b") == F.col("y"))
+    shared = both.select("a", "b", (F.size("s") + F.size("r")).alias("both"), F.size(F.array_intersect("s", "r")).alias("shared"))
     return shared.where(f"100 * shared >= {PERCENT} * (both - shared)").select("a", "b").distinct()
 
 
-def _links(documents: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between documents of different sets that connect all that similarity connects."""
+def _links(documents: DataFrame, least: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between the keys of different sets that connect all that similarity connects. least: k, doc."""
     spark = documents.sparkSession
-    one = _prefixes(documents, frequency_sketch(documents))
-    one = one.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("n", "m", "cold", "hot")))
+    one = _prefixes(documents, frequency_sketch(documents)).groupBy("k").agg(*(F.first(c).alias(c) for c in ("n", "m", "cold", "hot")))
     one = scratch.write(one, "prefixes")
+    sizes = scratch.write(one.select(F.col("k").alias("of_k"), "n", "m"), "sizes")
     tagged = lambda c, hot: F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(hot).alias("hot")))
-    rows = one.select("doc", "k1", "k2", "n", "m", F.inline(F.concat(tagged("cold", False), tagged("hot", True))))
+    rows = one.select("k", F.inline(F.concat(tagged("cold", False), tagged("hot", True))))
     rows = scratch.write(_grouped(rows, {"x": F.count("*")}).where("x > 1").drop("x"), "postings")
     scratch.drop("prefixes")
     links = spark.createDataFrame([], "a long, b long")
     if rows.isEmpty():
         return links
-    sets = scratch.write(_token_sets(documents, rows.selectExpr("doc", "k1", "k2").distinct()), "sets")
-    for k in range(ROUNDS + 1):
-        of = components(links, scratch).select(F.col("id"), "component") if k else links.selectExpr("a id", "b component")
-        placed = rows.join(of, F.col("doc") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "doc")).drop("id", "component")
-        turn = F.col("doc") if k == 0 else F.xxhash64("token", "doc", F.lit(k))
-        hub = F.min_by(F.struct("doc", "n", "k1", "k2", "comp"), F.struct(turn, "doc", "k1", "k2"))
+    sets = scratch.write(_token_sets(documents, least.join(rows.select("k").distinct(), "k", "left_semi")), "sets")
+    for turn in range(ROUNDS + 1):
+        of = components(links, scratch) if turn else links.selectExpr("a id", "b component")
+        placed = rows.join(of, F.col("k") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "k")).drop("id", "component")
+        hub = F.min_by(F.struct("k", "comp"), F.xxhash64("k", "token", F.lit(turn)) if turn else F.col("k"))
         apart = _grouped(placed, {"low": F.min("comp"), "high": F.max("comp"), "hub": hub}).where("low < high").drop("low", "high")
-        apart = scratch.write(apart, f"apart{k}")
+        apart = scratch.write(apart, f"apart{turn}")
         if apart.isEmpty():
             break
-        if k < ROUNDS:
-            near = apart.where("comp <> hub.comp and " + _similar_sizes("n", "hub.n"))
-            pairs = near.selectExpr("doc", "k1", "k2", "hub.doc doc2", "hub.k1 k3", "hub.k2 k4").distinct()
+        a, b = sizes, sizes.toDF("of_k2", "n2", "m2")
+        if turn < ROUNDS:
+            pairs = apart.where("comp <> hub.comp").selectExpr("k a", "hub.k b").distinct()
+            pairs = pairs.join(a, F.col("a") == F.col("of_k")).join(b, F.col("b") == F.col("of_k2")).where(_similar_sizes("n", "n2"))
         else:
-            x, y = apart.drop("hub"), apart.selectExpr("token token2", "doc doc2", "k1 k3", "k2 k4", "n n2", "m m2", "comp comp2")
-            near = x.join(y, F.expr("token = token2 and comp < comp2 and " + _similar_sizes("n", "n2")))
-            pairs = near.groupBy("doc", "k1", "k2", "doc2", "k3", "k4").agg(F.count("*").alias("x"), F.first(F.least("m", "m2")).alias("least")).where("x >= least")
-        found = scratch.write(_verified(pairs, sets), f"links{k}")
-        links = found if k == 0 else links.unionByName(found)
+            sized = apart.drop("hub").join(a, F.col("k") == F.col("of_k")).drop("of_k")
+            other = sized.selectExpr("token token2", "k b", "n n2", "m m2", "comp comp2")
+            near = sized.join(other, F.expr("token = token2 and comp < comp2 and " + _similar_sizes("n", "n2")))
+            pairs = near.groupBy(F.col("k").alias("a"), "b").agg(F.count("*").alias("x"), F.first(F.least("m", "m2")).alias("asked")).where("x >= asked")
+        found = scratch.write(_verified(pairs.select("a", "b"), sets), f"links{turn}")
+        links = links.unionByName(found) if turn else found
         rows = apart.drop("hub", "comp")
+        if turn:
+            scratch.drop(f"apart{turn - 1}")
     return links
 
 
@@ -266,10 +263,12 @@ def link_documents(documents: DataFrame) -> DataFrame:
     scratch = Scratch(documents.sparkSession)
     sets = scratch.write(_sets(docs), "documents")
     full = sets.where("n_shingles > 0 and doc_id is not null")
-    least = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
-    copies = full.join(least, ["k1", "k2"]).where("doc_id <> least").selectExpr("doc_id a", "least b")
-    of = components(copies.unionByName(_links(docs, scratch)), scratch)
-    scratch.drop("sets", "postings", *(f"{x}{k}" for x in ("apart", "links") for k in range(ROUNDS + 1)))
+    least = scratch.write(full.groupBy("k").agg(F.min("doc_id").alias("doc")), "least")
+    copies = full.join(least, "k").where("doc_id <> doc").selectExpr("doc_id a", "doc b")
+    links = _links(docs, least, scratch)
+    links = links.join(least.toDF("x", "d"), F.col("a") == F.col("x")).join(least.toDF("y", "e"), F.col("b") == F.col("y")).selectExpr("d a", "e b")
+    of = components(copies.unionByName(links), scratch)
+    scratch.drop("sets", "sizes", "postings", "least", *(f"{x}{k}" for x in ("apart", "links") for k in range(ROUNDS + 1)))
     return sets.join(of, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
