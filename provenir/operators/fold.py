@@ -6,7 +6,6 @@ Every positional rule compares the column seq; nothing depends on the order rows
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenir.schema import HYPOTHESIS_PREFIX, OWNER
+from provenir.sources.shared import materialize
 
 EDGE_KINDS = ["EDGE", "OWNER_EDGE"]
 
@@ -28,29 +28,37 @@ def survivors(log: DataFrame) -> DataFrame:
 
 @dataclass
 class Fold:
-    """What a log folds to. Rows of `log` are of provenir.schema.LOG."""
+    """What a log folds to. Rows of `log` are of provenir.schema.LOG.
+
+    The log is folded once: with keep, the surviving rows, nodes and edges are written to the shared folder when first asked for,
+    and all queries read them.
+    """
 
     log: DataFrame
+    keep: bool = False
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        return materialize(df) if self.keep else df
 
     @cached_property
     def surviving(self) -> DataFrame:
-        return survivors(self.log)
+        return self._kept(survivors(self.log))
 
     @cached_property
     def same_as(self) -> DataFrame:
         """Surviving merges, with whether they are the last of their local."""
         rows = self.surviving.where("kind = 'SAME_AS'").selectExpr("seq", "qid local", "to_qid canonical")
         last = rows.groupBy(F.col("local").alias("_l")).agg(F.max("seq").alias("_s"))
-        return rows.join(last, F.col("local") == F.col("_l")).select("seq", "local", "canonical", (F.col("seq") == F.col("_s")).alias("last"))
+        return self._kept(rows.join(last, F.col("local") == F.col("_l")).select("seq", "local", "canonical", (F.col("seq") == F.col("_s")).alias("last")))
 
     @cached_property
     def merges(self) -> DataFrame:
         """local -> canonical: the last surviving merge of each local; looked up once, never followed further."""
         return self.same_as.where("last").select("local", "canonical")
 
-    def folded_edges(self, emptied: DataFrame) -> DataFrame:
+    def folded_edges(self, emptied: DataFrame, claims: DataFrame | None = None) -> DataFrame:
         """Surviving edge claims with from_qid and to folded, and what became of each: kept, withdrawn or loop."""
-        claims = self.surviving.where(F.col("kind").isin(EDGE_KINDS))
+        claims = self.surviving.where(F.col("kind").isin(EDGE_KINDS)) if claims is None else claims
         a, b = self.merges.toDF("_la", "_ca"), self.merges.toDF("_lb", "_cb")
         ends = claims.join(a, F.col("qid") == F.col("_la"), "left").join(b, F.col("to_qid") == F.col("_lb"), "left")
         ends = ends.withColumns({"f": F.coalesce("_ca", "qid"), "t": F.coalesce("_cb", "to_qid")})
@@ -64,15 +72,31 @@ class Fold:
         """Surviving node claims (NODE and LOCAL)."""
         return self.surviving.where("kind in ('NODE', 'LOCAL')")
 
+    @cached_property
+    def _about_superseded(self) -> DataFrame:
+        """Edge claims that name the canonical of a superseded merge: what decides whether that merge still stands."""
+        ids = self.same_as.where("not last").select(F.col("canonical").alias("_id")).distinct()
+        claims = self.surviving.where(F.col("kind").isin(EDGE_KINDS))
+        a = claims.join(ids, F.col("qid") == F.col("_id"), "left_semi")
+        b = claims.join(ids, F.col("to_qid") == F.col("_id"), "left_semi").join(ids, F.col("qid") == F.col("_id"), "left_anti")
+        return self._kept(a.unionByName(b))
+
+    @cached_property
+    def _local_claims(self) -> DataFrame:
+        """Surviving node claims of merged locals, and of canonicals."""
+        ids = self.same_as.select(F.explode(F.array("local", "canonical")).alias("_id"))
+        ids = ids.union(self.log.where("kind = 'SAME_AS'").select("to_qid")).distinct()
+        return self._kept(self.claimed.join(ids, F.col("qid") == F.col("_id"), "left_semi"))
+
     def _stand_ins(self, emptied: DataFrame) -> DataFrame:
-        kept = self.folded_edges(emptied).where("fate = 'kept'")
+        kept = self.folded_edges(emptied, self._about_superseded).where("fate = 'kept'")
         named = kept.selectExpr("qid r").union(kept.selectExpr("to_qid r")).distinct()
         standing = self.same_as.join(named, F.col("canonical") == F.col("r"), "left").where("last or r is not null")
-        locals_ = self.claimed.selectExpr("qid l", "seq claim_seq", "node_kind", "label")
+        locals_ = self._local_claims.selectExpr("qid l", "seq claim_seq", "node_kind", "label")
         as_of = standing.join(locals_, F.expr("local = l and claim_seq < seq")).groupBy("seq", "local", "canonical").agg(F.max_by(F.struct("node_kind", "label"), "claim_seq").alias("was"))
         first = as_of.groupBy("canonical").agg(F.min_by(F.struct("seq", "was"), "seq").alias("x"))
         made = first.selectExpr("canonical qid", "x.was.node_kind kind", "x.was.label label", "x.seq seq")
-        return made.join(self.claimed.select("qid").distinct(), "qid", "left_anti").join(emptied.toDF("qid"), "qid", "left_anti")
+        return made.join(self._local_claims.select("qid").distinct(), "qid", "left_anti").join(emptied.toDF("qid"), "qid", "left_anti")
 
     @cached_property
     def emptied(self) -> DataFrame:
@@ -83,11 +107,13 @@ class Fold:
         cut = self.log.where("kind = 'RETRACT'").groupBy(F.col("qid").alias("_q")).agg(F.max("seq").alias("_cut"))
         merged = self.log.where("kind = 'SAME_AS'")
         reached = merged.join(cut, F.expr("qid = _q and _cut > seq")).selectExpr("to_qid qid").distinct()
-        held = self.claimed.select("qid").distinct()
-        now = reached.limit(0)
-        before = None
+        reached = materialize(reached)
+        if reached.isEmpty():
+            return reached
+        held = self._local_claims.select("qid").distinct()
+        now, before = reached.limit(0), None
         while True:
-            now = cut_lineage(reached.join(held, "qid", "left_anti").join(self._stand_ins(now).select("qid"), "qid", "left_anti"))
+            now = materialize(reached.join(held, "qid", "left_anti").join(self._stand_ins(now).select("qid"), "qid", "left_anti"))
             state = now.agg(F.count("*"), F.sum(F.crc32("qid"))).head()
             if state == before:
                 return now
@@ -96,14 +122,14 @@ class Fold:
     @cached_property
     def stand_ins(self) -> DataFrame:
         """qid, kind, label, seq of entities that exist by a merge alone."""
-        return self._stand_ins(self.emptied)
+        return self._kept(self._stand_ins(self.emptied))
 
     @cached_property
     def nodes(self) -> DataFrame:
         """qid, kind, label, instance_of: the last surviving claim of each id, and stand-ins."""
         last = self.claimed.groupBy("qid").agg(F.max_by(F.struct("node_kind", "label", "instance_of"), "seq").alias("n"))
         own = last.selectExpr("qid", "n.node_kind kind", "n.label label", "n.instance_of instance_of")
-        return own.unionByName(self.stand_ins.select("qid", "kind", "label", F.array().cast("array<string>").alias("instance_of")))
+        return self._kept(own.unionByName(self.stand_ins.select("qid", "kind", "label", F.array().cast("array<string>").alias("instance_of"))))
 
     @cached_property
     def edge_claims(self) -> DataFrame:
@@ -115,18 +141,7 @@ class Fold:
 
         valid_from and valid_to are each the first that any claim states; of equal (source_id, source_ref) the first counts.
         """
-        return endpoints_held(merge_claims(self.edge_claims.where("fate = 'kept'")), self.nodes)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpointed in the folder of spark.checkpoint.dir; a local session without one gets a folder of its own."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="provenir-"))
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint(True)
+        return self._kept(endpoints_held(merge_claims(self.edge_claims.where("fate = 'kept'")), self.nodes))
 
 
 def merge_claims(claims: DataFrame) -> DataFrame:

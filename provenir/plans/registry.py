@@ -1,15 +1,177 @@
-"""The engine's named queries and their SQL counterparts."""
+"""The engine's named queries over the derived log, and their SQL counterparts."""
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from provenir.operators import census, evaluate, fold, graph, paths, recommend, taste
+from provenir.plans import oracle
+from provenir.sources import derived_log
+from provenir.sources.shared import materialize
+
+CUSTOMER, SUPPLIER, PART = "Q100000001", "Q200000001", "Q300000001"
+DAY = datetime.date(2000, 1, 1)
+SINCE = "2000-01-01"
+
+
+class World:
+    """What queries over one set of tables share."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.log = derived_log.log(spark, sf_dir)
+        self.fold = fold.Fold(self.log, keep=True)
+        self.file = derived_log.known_file(spark, sf_dir)
+
+    nodes = property(lambda self: self.fold.nodes)
+    edges = property(lambda self: self.fold.edges)
+
+    @cached_property
+    def degrees(self) -> DataFrame:
+        return materialize(graph.degree_incident(self.nodes, self.edges))
+
+    @cached_property
+    def hubs(self) -> DataFrame:
+        return graph.hubs(self.nodes, self.degrees)
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        return taste.resolve_ratings(derived_log.ratings(self.spark, self.sf_dir), self.fold.same_as)
+
+    @property
+    def known(self) -> DataFrame:
+        return taste.known_list(self.file, self.resolved)
+
+    @property
+    def interest(self) -> DataFrame:
+        return taste.interest(self.resolved, taste.combine_signals(derived_log.signals(self.spark, self.sf_dir)), self.fold.merges)
+
+    @property
+    def evidence(self) -> DataFrame:
+        withheld = taste.not_offered(self.resolved, self.fold.merges)
+        return recommend.sweep(self.nodes, self.edges, self.degrees, self.hubs, self.known, withheld, taste.regard_for_interest(self.interest))
+
+    @property
+    def expanded(self) -> DataFrame:
+        return census.expanded_seeds(self.log)
+
+    @property
+    def lonely(self) -> DataFrame:
+        return graph.isolated(self.nodes, self.edges, self.file.select("qid"))
+
+
+def _edge_rows(edges: DataFrame) -> DataFrame:
+    return edges.select("from_qid", "type_code", "to_qid", F.size("sources").cast("long").alias("n_sources"), fold.corroboration(F.col("sources")).cast("long").alias("corroboration"), fold.best_confidence(F.col("sources")).alias("best"), "valid_from", "valid_to")
+
+
+def _recommended(scorer: str) -> Callable[[World], DataFrame]:
+    def run(w: World) -> DataFrame:
+        top = recommend.rank(recommend.score(recommend.above_floor(w.evidence), scorer))
+        return top.select("rank", "candidate", "degree", F.round("score", 6).alias("score"), "known_reached", "intermediates")
+
+    return run
+
+
+def _explained(w: World) -> DataFrame:
+    e = recommend.above_floor(w.evidence)
+    return recommend.explain(e, recommend.rank(recommend.score(e, "resource_allocation"))).select("candidate", "seed", "k", F.round("reach", 6).alias("reach"))
+
+
+def _paths(hops: int, limit: int | None = None) -> Callable[[World], DataFrame]:
+    def run(w: World) -> DataFrame:
+        found = paths.simple_paths(w.edges, w.hubs, CUSTOMER, SUPPLIER, hops).withColumn("length", F.col("length").cast("long")).withColumn("hubs", F.col("hubs").cast("long"))
+        return paths.ranked(found, limit) if limit else found
+
+    return run
+
+
+def _deck(w: World) -> DataFrame:
+    top = recommend.rank(recommend.score(recommend.above_floor(w.evidence), "resource_allocation"))
+    return evaluate.deck(w.known, top, w.resolved, w.degrees)
+
+
+def _streamed(w: World) -> DataFrame:
+    from provenir.streaming.events import windowed_counts
+
+    return windowed_counts(w.spark.read.parquet(f"{w.sf_dir}/events.parquet"))
+
+
+WORLD: dict[str, Callable[[World], DataFrame]] = {
+    "log_by_kind": lambda w: w.log.groupBy("kind").agg(F.count("*").alias("n")),
+    "nodes_fold": lambda w: w.nodes.select("qid", "kind", "label", F.array_join("instance_of", " ").alias("classes")),
+    "edges_fold": lambda w: _edge_rows(w.edges),
+    "retraction_survivors": lambda w: w.fold.surviving.groupBy("kind").agg(F.count("*").alias("n")),
+    "merge_map": lambda w: w.fold.merges,
+    "stand_ins": lambda w: w.fold.stand_ins.select("qid", "kind", "label"),
+    "emptied_canonicals": lambda w: w.fold.emptied,
+    "withdrawn_edges": lambda w: w.fold.edge_claims.where("fate <> 'kept'").select("qid", "to_qid", "type_code", "f", "t", "fate"),
+    "endpoints_missing": lambda w: fold.endpoints_missing(fold.merge_claims(w.fold.edge_claims.where("fate = 'kept'")), w.nodes).select("from_qid", "type_code", "to_qid", F.array_join("missing", ",").alias("missing")),
+    "audit_source_since": lambda w: _edge_rows(graph.asserted_by(w.edges, "musicbrainz", F.to_timestamp(F.lit(SINCE)))),
+    "valid_at": lambda w: _edge_rows(graph.edges_valid_at(graph.incident(w.edges, PART), DAY)),
+    **{f"corroborated_{n}": (lambda n: lambda w: graph.corroborated(w.edges, n).groupBy("type_code").agg(F.count("*").alias("n")))(n) for n in range(4)},
+    "hypotheses": lambda w: _edge_rows(graph.hypotheses(w.edges)),
+    "incident_edges": lambda w: _edge_rows(graph.incident(w.edges, SUPPLIER)),
+    "neighbours_by_type": lambda w: graph.neighbours_by_type(w.edges, SUPPLIER).select("type_code", F.array_join("neighbours", " ").alias("neighbours")),
+    "degree_incident": lambda w: w.degrees,
+    "degree_endpoint": lambda w: graph.degree_endpoint(w.nodes, w.edges),
+    "hubs": lambda w: w.hubs,
+    "paths_2hop": _paths(2),
+    "paths_3hop": _paths(3),
+    "paths_ranked_top50": _paths(3, 50),
+    "neighbourhood_depth2": lambda w: graph.neighbourhood(w.edges, CUSTOMER, 2).select("from_qid", "type_code", "to_qid"),
+    "induced_subgraph": lambda w: graph.induced(w.edges, w.known.select("qid")).select("from_qid", "type_code", "to_qid"),
+    "isolated_members": lambda w: w.lonely,
+    "to_expand_beside": lambda w: graph.to_expand_beside(w.nodes, w.edges, w.lonely, w.expanded),
+    "expanded_seeds": lambda w: w.expanded,
+    "view_edges": lambda w: graph.view_edges(w.edges).drop("first_seq"),
+    "census_nodes": lambda w: census.nodes_by_kind(w.nodes),
+    "census_edges_by_type": lambda w: census.edges_by_type(w.edges),
+    "census_edges_by_source": lambda w: census.edges_by_source(w.edges),
+    "census_edges_by_corroboration": lambda w: census.edges_by_corroboration(w.edges),
+    "census_degree": lambda w: census.degree_quantiles(w.nodes, graph.degree_endpoint(w.nodes, w.edges)),
+    "census_bridge": lambda w: census.bridge(w.nodes, w.edges),
+    "census_concept_classes": lambda w: census.concept_classes(w.nodes),
+    "census_taste": lambda w: census.taste(derived_log.ratings(w.spark, w.sf_dir), w.fold.stand_ins, w.log.where("kind = 'RETRACT'").select("qid")),
+    "census_claims": lambda w: census.claims(w.log, w.fold),
+    "census_known": lambda w: census.known(w.nodes, w.known, w.expanded, w.lonely),
+    "ratings_resolved": lambda w: w.resolved.select("qid", "rating"),
+    "known_promoted": lambda w: w.known.select("qid", "part"),
+    "suppressed": lambda w: taste.suppressed(w.resolved),
+    "not_offered": lambda w: taste.not_offered(w.resolved, w.fold.merges).toDF("qid"),
+    "signals_combined": lambda w: taste.combine_signals(derived_log.signals(w.spark, w.sf_dir)).select("qid", "source", "play_count", "loved", "favorited"),
+    "interest": lambda w: w.interest,
+    "regard": lambda w: taste.regard_for_interest(w.interest).select("qid", F.round("regard", 6).alias("regard")),
+    "ratings_listing": lambda w: w.resolved.join(w.nodes.select("qid", "label"), "qid", "left").select("qid", "rating", F.coalesce("label", F.lit("(not in the graph)")).alias("label")),
+    "sweep_evidence": lambda w: recommend.above_floor(w.evidence).groupBy("candidate").agg(F.count("*").alias("ways"), F.round(F.sum(F.col("w1") * F.col("w2")), 6).alias("weight")),
+    "rec_raw": _recommended("raw"),
+    "rec_adamic_adar": _recommended("adamic_adar"),
+    "rec_resource_allocation": _recommended("resource_allocation"),
+    "rec_lift": _recommended("lift"),
+    "rec_explained": _explained,
+    "floor_reading": lambda w: recommend.floor_reading(w.evidence, "resource_allocation"),
+    "eval_holdout": lambda w: evaluate.folds(w.resolved, w.nodes.where("kind in ('PERSON', 'GROUP')").join(w.file, "qid", "left_anti")),
+    "deck_fresh": _deck,
+    "deck_revision": lambda w: evaluate.revision_deck(w.known, w.resolved, w.degrees, 5),
+    "events_windowed": _streamed,
+}
+
+
+_worlds: dict[tuple[str, str], World] = {}
+
+
+def world(spark: SparkSession, sf_dir: str) -> World:
+    """One for each session and set of tables, so the log is folded once for all queries."""
+    return _worlds.setdefault((spark.sparkContext.applicationId, sf_dir), World(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: (lambda f: lambda spark, sf_dir: f(world(spark, sf_dir)))(f) for name, f in WORLD.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, sql in oracle.queries().items() if name in WORLD}
