@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from provenir.llm._io import slices, table
 
 LONG = 128
-RUN_BYTES = 24_000_000
+RUN_BYTES = 14_000_000
 NONE = 1 << 30
 SLOTS = 1 << 19
 MULTIPLIERS = (2654435761, 2246822519)  # spread keys below 50257 << 16; the products stay within 63 bits
