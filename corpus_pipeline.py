@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenir.llm._io import Scratch, table
-from provenir.llm.byte_bpe import encode, read_ranks, with_digests
+from provenir.llm.byte_bpe import encode, read_ranks
 from provenir.llm.decontaminate import drop_contaminated
 from provenir.llm.line_dedup import dedup_lines
 from provenir.llm.ngram_join import keep_representatives
@@ -45,7 +45,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and the digests of the ids and of what they decode to."""
     ranks = read_ranks(public_tokenizers.path(VOCABULARY))
-    return with_digests(encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return encode(docs, ranks, public_tokenizers.PATTERN, digests=True)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated), ("tokens", tokens)]

@@ -17,6 +17,7 @@ ignored; an empty table gives an empty result. The vocabulary's file is a parame
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Callable, Iterator
 
@@ -150,8 +151,9 @@ def _heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if not dead[i]]
 
 
-def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """documents(doc_id, text) -> doc_id, ids array<int>."""
+def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool = False) -> DataFrame:
+    """documents(doc_id, text) -> doc_id, ids array<int>; or with digests doc_id, n_tokens, ids_sha256 (of the decimal ids
+    joined by commas) and decoded_sha256 (of the pieces concatenated), which spares sending the ids back."""
     # words: distinct, as bytes; long_ids: those of the words that come after them, merged already.
     out = "words array<array<smallint>>, long_ids array<array<int>>, docs array<struct<doc_id: bigint, at: array<int>>>"
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,35 +201,40 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
                     starts = np.cumsum(n) - n
                     ids = flat[np.repeat(begins[w] - starts, n) + np.arange(int(n.sum()))]
                     cuts = upto[ends[a : b + 1]] - upto[ends[a]]
-                    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([docs.field("doc_id").slice(a, b - a), lists], ["doc_id", "ids"])
-
+                    own = docs.field("doc_id").slice(a, b - a)
+                    if not digests:
+                        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))
+                        yield pa.RecordBatch.from_arrays([own, lists], ["doc_id", "ids"])
+                        continue
+                    each = [ids[x:y].tolist() for x, y in zip(cuts.tolist(), cuts[1:].tolist())]
+                    said = [hashlib.sha256(",".join(map(numerals.__getitem__, e)).encode()).hexdigest() for e in each]
+                    back = [hashlib.sha256(b"".join(map(pieces.__getitem__, e))).hexdigest() for e in each]
+                    yield pa.RecordBatch.from_arrays([own, pa.array([len(e) for e in each], pa.int64()), pa.array(said), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    if digests:
+        numerals, pieces = [str(k) for k in range(max(ranks.values()) + 1)], _pieces(ranks)
+        return folded.mapInArrow(place, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return folded.mapInArrow(place, "doc_id long, ids array<int>")
 
 
-def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes of an array of ids."""
-    pieces = [""] * (max(ranks.values()) + 1)
+def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
+    pieces = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        pieces[rank] = token.hex()
-    literal = F.split(F.lit(",".join(pieces)), ",")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: literal[i]), ""))
+        pieces[rank] = token
+    return pieces
 
 
-def with_digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    return encoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
-    )
+def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes of an array of ids."""
+    literal = F.split(F.lit(",".join(p.hex() for p in _pieces(ranks))), ",")
+    return F.unhex(F.array_join(F.transform(ids, lambda i: literal[i]), ""))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return with_digests(encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digests=True)
 
 
 QUERIES = {"op3_byte_bpe": op3_byte_bpe}
