@@ -14,8 +14,8 @@ classes are joined:
    candidates to verify, of which there are at most postings / m. Two documents must share min(m, m') prefix shingles.
 4. Shingles that the sketch proves to be in under 2**HOT documents are grouped in one place each; others are aggregated before
    the shuffle and joined back, which adaptive execution splits.
-5. Each shingle's documents are first compared to a hub of theirs (its least document, then others by hash), so that a group
-   of near copies becomes one component by few comparisons. Then all pairs that share enough prefix shingles
+5. Each shingle's documents have a hub (the least set, then others by hash), and in each of ROUNDS rounds a set is compared
+   to HUBS of its shingles' hubs, so that a group of near copies becomes one component by few comparisons. Then all pairs that share enough prefix shingles
    and are still in different components are compared, so that no link between components is missed.
 6. Candidates are verified on their whole sets: 100 * |intersection| >= 80 * |union|.
 
@@ -45,7 +45,8 @@ SHINGLE = 5
 PERCENT = 80
 MATCHES = 4
 HOT = 10
-ROUNDS = 3
+ROUNDS = 4
+HUBS = 3
 SKETCH_BITS = 23
 COUNT_BITS = 40
 FLUSH = 4_000_000
@@ -242,7 +243,10 @@ def _links(documents: DataFrame, least: DataFrame, scratch: Scratch) -> DataFram
             break
         a, b = sizes, sizes.toDF("of_k2", "n2", "m2")
         if turn < ROUNDS:
-            pairs = apart.where("comp <> hub.comp").selectExpr("k a", "hub.k b").distinct()
+            # A few hubs for each set, which sets with common shingles choose alike; the last turn sees all that stays apart.
+            own = F.struct(F.xxhash64("hub.k", F.lit(turn)).alias("h"), F.col("hub.k").alias("b"))
+            chosen = apart.where("comp <> hub.comp").groupBy(F.col("k").alias("a")).agg(F.slice(F.array_sort(F.collect_set(own)), 1, HUBS).alias("hubs"))
+            pairs = chosen.select("a", F.explode("hubs.b").alias("b"))
             pairs = pairs.join(a, F.col("a") == F.col("of_k")).join(b, F.col("b") == F.col("of_k2")).where(_similar_sizes("n", "n2"))
         else:
             sized = apart.drop("hub").join(a, F.col("k") == F.col("of_k")).drop("of_k")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenir.operators import recommend, taste
+from provenir.sources.shared import materialize
 
 FOLDS = 5
 FLOORS = [2, 5, 8, 12]
@@ -31,28 +32,28 @@ def grid(nodes: DataFrame, edges: DataFrame, degrees: DataFrame, hub_ids: DataFr
     A fold's evidence is swept once for all settings.
     """
     eligible = nodes.where("kind in ('PERSON', 'GROUP')").join(file, "qid", "left_anti")
-    held = folds(resolved, eligible).cache()
-    rows = None
+    held = materialize(folds(resolved, eligible))
+    everyone = None
     for fold in range(FOLDS):
         out = held.where(F.col("fold") == fold).select("qid")
         left = resolved.join(out, "qid", "left_anti")
-        known = taste.known_list(file, left)
         negatives = left.where(F.col("rating") <= taste.SUPPRESSED).select(F.col("qid").alias("neg"))
-        evidence = recommend.sweep(nodes, edges, degrees, hub_ids, known, merges.select("local"), taste.regard_for_ratings(left))
-        marks = out.select(F.col("qid").alias("held"))
-        for scorer in recommend.SCORERS:
-            scored = recommend.score(evidence, scorer).join(marks, F.col("candidate") == F.col("held"), "left").join(negatives, F.col("candidate") == F.col("neg"), "left")
-            for floor in FLOORS:
-                able = scored.where(F.col("degree") >= floor)
-                shipped = able.where("neg is null")
-                one = shipped.agg(F.count("*").alias("pool"), F.count("held").alias("held_in_pool"))
-                top = recommend.rank(shipped, limit).agg(F.count("held").alias("hits"), F.coalesce(F.sum(F.when(F.col("held").isNotNull(), F.col("rank"))), F.lit(0)).alias("hit_rank_sum"))
-                bad = recommend.rank(able, limit).agg(F.count("neg").alias("negatives_offered"), F.coalesce(F.sum(F.when(F.col("neg").isNotNull(), F.col("rank"))), F.lit(0)).alias("negative_rank_sum"))
-                row = one.withColumn("j", F.lit(1)).join(top.withColumn("j", F.lit(1)), "j").join(bad.withColumn("j", F.lit(1)), "j").drop("j")
-                row = row.select(F.lit(scorer).alias("scorer"), F.lit(floor).alias("floor"), "*")
-                rows = row if rows is None else rows.unionByName(row)
-    sums = [c for c in rows.columns if c not in {"scorer", "floor"}]
-    return rows.groupBy("scorer", "floor").agg(*(F.sum(c).alias(c) for c in sums))
+        evidence = recommend.sweep(nodes, edges, degrees, hub_ids, taste.known_list(file, left), merges.select("local"), taste.regard_for_ratings(left))
+        share = F.col("w1") * F.col("w2")
+        sums = evidence.groupBy("candidate", "degree").agg(*((F.sum(share / f(F.col("via_degree")))).alias(n) for n, f in recommend.SCORERS.items()))
+        marked = sums.join(out.toDF("held"), F.col("candidate") == F.col("held"), "left").join(negatives, F.col("candidate") == F.col("neg"), "left")
+        scores = F.array(*(F.struct(F.lit(n).alias("scorer"), (F.col(n) / F.col("degree") if n == "lift" else F.col(n)).alias("score")) for n in recommend.SCORERS))
+        rows = marked.select(F.lit(fold).alias("fold"), "candidate", "degree", "held", "neg", F.inline(scores))
+        rows = materialize(rows.select("*", F.explode(F.array(*map(F.lit, FLOORS))).alias("floor")).where("degree >= floor"))
+        everyone = rows if everyone is None else everyone.unionByName(rows)
+    by = ["fold", "scorer", "floor"]
+    order = Window.partitionBy(*by).orderBy(F.round("score", 9).desc(), F.col("candidate"))
+    top = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    shipped = everyone.where("neg is null")
+    pool = shipped.groupBy("scorer", "floor").agg(F.count("*").alias("pool"), F.count("held").alias("held_in_pool"))
+    hits = top(shipped).groupBy("scorer", "floor").agg(F.count("held").alias("hits"), F.coalesce(F.sum(F.when(F.col("held").isNotNull(), F.col("rank"))), F.lit(0)).alias("hit_rank_sum"))
+    bad = top(everyone).groupBy("scorer", "floor").agg(F.count("neg").alias("negatives_offered"), F.coalesce(F.sum(F.when(F.col("neg").isNotNull(), F.col("rank"))), F.lit(0)).alias("negative_rank_sum"))
+    return bad.join(pool, ["scorer", "floor"], "left").join(hits, ["scorer", "floor"], "left").fillna(0)
 
 
 def deck(known: DataFrame, candidates: DataFrame, rated: DataFrame, degrees: DataFrame, limit: int = 200) -> DataFrame:

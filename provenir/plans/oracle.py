@@ -194,5 +194,32 @@ def _grid_free() -> dict[str, str]:
 
 def queries() -> dict[str, str]:
     out = {name: BASE + ("" if body.startswith(",") else " ") + body for name, body in _grid_free().items()}
+    key = lambda c: f"regexp_replace(regexp_replace(lower(trim({c})), '^the\\s+', ''), '[^a-z0-9]', '', 'g')"
+    out["name_fold"] = f"select c_custkey, {key("' The ' || c_name")} folded from customer"
+    out["name_groups"] = f"select folded, arg_min(name, ord) as name, count(*) n from (select 'The ' || p_name as name, p_partkey ord, {key("'The ' || p_name")} folded from part) x group by 1"
+    out["adjudicate"] = f"""
+with c as (
+  select p_name as name, p_partkey pos, 'Q3' || lpad(p_partkey::varchar, 8, '0') qid, case when p_partkey % 3 = 0 then upper(p_name) else p_brand end label,
+         case when p_partkey % 3 = 1 then p_name else p_type end alias, p_size > 10 fits, floor(p_retailprice * p_size)::bigint sitelinks from part),
+m as (select *, case when {key('label')} = {key('name')} then 2 when length({key('name')}) >= 3 and {key('alias')} = {key('name')} then 1 else 0 end match from c),
+p as (select *, match > 0 and fits and match = max(match) filter (where match > 0 and fits) over (partition by name) playing from m),
+r as (select *, coalesce(playing, false) in_play from p),
+k as (
+  select *, row_number() over w k, lead(case when in_play then sitelinks end) over w nxt from r
+  window w as (partition by name order by in_play desc, case when in_play then sitelinks end desc nulls last, match > 0 desc, pos))
+select name, case when in_play and (nxt is null or sitelinks > 2 * nxt) then 'ACCEPTED' else 'REVIEW' end status, qid,
+       case when in_play and (nxt is null or sitelinks > 2 * nxt) then 'clear' when in_play then 'thin margin' when match > 0 then 'does not fit' else 'no name matches' end reason
+from k where k = 1"""
+    out["signals_resolved"] = """
+with e as (select user_id, count(*) play_count from events group by 1)
+select printf('The Customer #%09d', user_id) artist, play_count, case when c_custkey % 7 <> 0 and c_custkey % 5 <> 0 then 'Q1' || lpad(c_custkey::varchar, 8, '0') end qid,
+       case when c_custkey is null then 'unanswered' when c_custkey % 7 <> 0 and c_custkey % 5 <> 0 then 'resolved' else 'in_review' end outcome
+from e left join (select * from customer where c_custkey % 11 <> 0) c on c.c_custkey = e.user_id"""
+    out["statements_to_edges"] = """
+select 'Q2' || lpad(s_suppkey::varchar, 8, '0') from_qid, 'MEMBER_OF' type_code, 'Q4' || lpad(s_nationkey::varchar, 8, '0') to_qid,
+       case when s_suppkey % 2 = 1 then make_date(1910 + s_suppkey % 90, 5, 1) end valid_from, cast(null as date) valid_to,
+       case when s_suppkey % 2 = 0 then 0.8 else 1.0 end::double confidence, 's' || s_suppkey source_ref from supplier where s_suppkey % 9 <> 0
+union all select 'Q1', 'PERFORMED', 'Q2' || lpad(s_suppkey::varchar, 8, '0'), null, null, 0.8, 'Q2' || lpad(s_suppkey::varchar, 8, '0') || '$P175$Q1' from supplier"""
+    out["next_local"] = BASE + " select max(substr(id, 4)::bigint) + 1 as number from (select qid id from log union all select to_qid from log) x where id like 'Q00%'"
     out["events_windowed"] = "select time_bucket(interval '1 hour', ts) begins, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2"
     return out

@@ -9,9 +9,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.operators import census, evaluate, fold, graph, paths, recommend, taste
+from provenir.functions.names import name_fold
+from provenir.operators import census, evaluate, export, fold, graph, paths, recommend, resolve, taste, writes
 from provenir.plans import oracle
-from provenir.sources import derived_log
+from provenir.sources import derived_log, statements
 from provenir.sources.shared import materialize
 
 CUSTOMER, SUPPLIER, PART = "Q100000001", "Q200000001", "Q300000001"
@@ -95,6 +96,44 @@ def _deck(w: World) -> DataFrame:
     return evaluate.deck(w.known, top, w.resolved, w.degrees)
 
 
+def _part_names(w: World) -> DataFrame:
+    return w.spark.read.parquet(f"{w.sf_dir}/part.parquet").selectExpr("concat('The ', p_name) name", "cast(p_partkey as long) ord")
+
+
+def _adjudicated(w: World) -> DataFrame:
+    """Part types as names, parts as candidates with retail prices as their fame."""
+    part = w.spark.read.parquet(f"{w.sf_dir}/part.parquet")
+    names = part.selectExpr("p_name name").distinct()
+    candidates = part.selectExpr("p_name name", "cast(p_partkey as long) pos", "concat('Q3', lpad(cast(p_partkey as string), 8, '0')) qid", "case when p_partkey % 3 = 0 then upper(p_name) else p_brand end label", "array(case when p_partkey % 3 = 1 then p_name else p_type end) aliases", "p_size > 10 fits", "cast(floor(p_retailprice * p_size) as long) sitelinks")
+    return resolve.adjudicate(names, candidates)
+
+
+def _signals_resolved(w: World) -> DataFrame:
+    rows = w.spark.read.parquet(f"{w.sf_dir}/events.parquet").groupBy("user_id").agg(F.count("*").alias("play_count"))
+    rows = rows.select(F.format_string("The Customer #%09d", F.col("user_id")).alias("artist"), "play_count", F.lit(False).alias("loved"), F.lit(False).alias("favorited"))
+    answers = w.spark.read.parquet(f"{w.sf_dir}/customer.parquet").selectExpr("c_name name", "case when c_custkey % 7 <> 0 then concat('Q1', lpad(cast(c_custkey as string), 8, '0')) end qid", "case when c_custkey % 5 = 0 then 'REVIEW' else 'ACCEPTED' end status", "cast(c_custkey as long) ord")
+    return resolve.import_signals(rows, answers.where("ord % 11 <> 0")).select("artist", "play_count", "qid", "outcome")
+
+
+def _statements(w: World) -> DataFrame:
+    """Suppliers' nations as statements in JSON, read back as edges."""
+    supplier = w.spark.read.parquet(f"{w.sf_dir}/supplier.parquet")
+    made = supplier.selectExpr(
+        "concat('Q2', lpad(cast(s_suppkey as string), 8, '0')) qid",
+        """concat('{"claims":{"P463":[{"id":"s', s_suppkey, '","rank":"', case when s_suppkey % 9 = 0 then 'deprecated' else 'normal' end, '","mainsnak":{"snaktype":"value","datavalue":{"value":{"id":"Q4', lpad(cast(s_nationkey as string), 8, '0'), '"}}},"references":[{"snaks":{"', case when s_suppkey % 2 = 0 then 'P143' else 'P248' end, '":[]}}],"qualifiers":{"P580":[{"datavalue":{"value":{"time":"+19', 10 + s_suppkey % 90, '-05-01T00:00:00Z","precision":', 10 + s_suppkey % 2, '}}}]}}],"P175":[{"rank":"normal","mainsnak":{"snaktype":"value","datavalue":{"value":{"id":"Q1"}}}}],"P999":[]}}') json""",
+    )
+    return statements.statements_to_edges(made)
+
+
+def _grid(w: World) -> DataFrame:
+    return evaluate.grid(w.nodes, w.edges, w.degrees, w.hubs, w.file, w.resolved, w.fold.merges)
+
+
+def _retraction_effect(w: World) -> DataFrame:
+    some = w.log.where("kind = 'NODE' and qid = 'Q200000001'").withColumns({"kind": F.lit("RETRACT"), "seq": F.lit(90 * derived_log.BLOCK), "reason": F.lit("gone")})
+    return writes.retraction_effect(w.log, some)
+
+
 def _streamed(w: World) -> DataFrame:
     from provenir.streaming.events import windowed_counts
 
@@ -158,6 +197,16 @@ WORLD: dict[str, Callable[[World], DataFrame]] = {
     "deck_fresh": _deck,
     "deck_revision": lambda w: evaluate.revision_deck(w.known, w.resolved, w.degrees, 5),
     "events_windowed": _streamed,
+    "name_fold": lambda w: w.spark.read.parquet(f"{w.sf_dir}/customer.parquet").select("c_custkey", name_fold(F.concat(F.lit(" The "), "c_name")).alias("folded")),
+    "name_groups": lambda w: resolve.name_groups(_part_names(w)),
+    "adjudicate": _adjudicated,
+    "signals_resolved": _signals_resolved,
+    "statements_to_edges": _statements,
+    "export_graphml_lines": lambda w: export.graphml_lines(w.nodes.where("kind <> 'EVENT'"), graph.view_edges(graph.incident(w.edges, SUPPLIER))),
+    "export_dot_lines": lambda w: export.dot_lines(w.nodes.where("kind <> 'EVENT'"), graph.view_edges(graph.incident(w.edges, SUPPLIER))),
+    "next_local": lambda w: writes.next_local(w.log),
+    "retraction_effect": _retraction_effect,
+    "eval_grid": _grid,
 }
 
 
