@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Letters whose stroke does not decompose.
 STROKES = ("łŁøØđĐħĦ", "lLoOdDhH")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type by name would need a session at import
 def _without_marks(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks; no built-in function does this."""
     return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if unicodedata.category(c) != "Mn"))

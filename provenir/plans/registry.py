@@ -25,7 +25,8 @@ class World:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.log = derived_log.log(spark, sf_dir)
+        # Stored once, as a log is: the views below are 27 selections, and the fold reads them often.
+        self.log = materialize(derived_log.log(spark, sf_dir))
         self.fold = fold.Fold(self.log, keep=True)
         self.file = derived_log.known_file(spark, sf_dir)
 
@@ -215,7 +216,10 @@ _worlds: dict[tuple[str, str], World] = {}
 
 def world(spark: SparkSession, sf_dir: str) -> World:
     """One for each session and set of tables, so the log is folded once for all queries."""
-    return _worlds.setdefault((spark.sparkContext.applicationId, sf_dir), World(spark, sf_dir))
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _worlds:
+        _worlds[key] = World(spark, sf_dir)
+    return _worlds[key]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
