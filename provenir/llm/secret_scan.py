@@ -33,7 +33,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 # The method's weak candidates.
 ID = re.compile(r"""(?i:client_?id|account_?id|key_?id|user_?name|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{3,})""", re.ASCII)
 ID_WORD = re.compile(r"(?i:_id|keyid|clientid|accountid|user_?name|login)", re.ASCII)
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>|]{3,}")
 
 

@@ -31,6 +31,11 @@ def test_weak_parts_need_each_other_within_a_scope():
     assert kinds(f"login: bob {'.' * 1000} {key}") == []
 
 
+def test_a_weak_secret_of_any_length_is_linked():
+    key = "Zx9QwErTy12UiOpAsDfGh" * 8
+    assert scan_text(f"client_id=bob42 {key} ends")[1] == [(0, 15, "id"), (16, 16 + len(key), "secret")]
+
+
 def test_odd_rows(make, spark):
     got = scan_secrets(make([*ODD, (97, "é" * 5 + "token=abcdefghijkl"), (98, "f" * 3_000_000)])).collect()
     assert len(got) == len(ODD) + 2
