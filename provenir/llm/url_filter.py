@@ -53,7 +53,7 @@ def _lexical(df: DataFrame) -> DataFrame:
     counts = F.transform(F.array_distinct(F.split("url", "")), lambda c: (F.length("url") - F.length(F.replace(F.col("url"), c, F.lit("")))).cast("double"))
     spread = F.aggregate(F.filter(counts, lambda c: c > 0), F.lit(0.0), lambda a, c: a + c * F.log2(c))
     labels = F.split("host", r"\.")
-    return df.withColumns(
+    return _keyed(df).withColumns(
         {
             "f_length": n("url"),
             "f_host_length": n("host"),
@@ -66,16 +66,18 @@ def _lexical(df: DataFrame) -> DataFrame:
             "f_entropy": F.when(F.length("url") > 0, F.log2(n("url")) - spread / n("url")).otherwise(0.0),
             "f_params": F.when(F.length(query) > 0, F.size(F.split(query, "&")).cast("double")).otherwise(0.0),
             "f_query_length": n(query),
-            "suffix": F.substring_index("host", ".", -1),
-            "site": F.substring_index("host", ".", -3),
         }
     )
 
 
-def _rates(sample: DataFrame, key: str, name: str) -> DataFrame:
-    """Smoothed block rate and count of a suffix in the bounded sample: at most SAMPLE rows."""
-    return sample.groupBy(F.col(key).alias(f"{name}_key")).agg(
-        F.log1p(F.count("*")).alias(f"f_{name}_log_n"), ((F.sum("label") + 1.0) / (F.count("*") + 2.0)).alias(f"f_{name}_rate")
+def _keyed(df: DataFrame) -> DataFrame:
+    return df.withColumns({"suffix": F.substring_index("host", ".", -1), "site": F.substring_index("host", ".", -3)})
+
+
+def _rates(pages: DataFrame, key: str, name: str) -> DataFrame:
+    """Smoothed block rate (of the labelled ones) and count of a suffix over all rows of pages."""
+    return pages.groupBy(F.col(key).alias(f"{name}_key")).agg(
+        F.log1p(F.count("*")).alias(f"f_{name}_log_n"), ((F.coalesce(F.sum("label"), F.lit(0.0)) + 1.0) / (F.count("label") + 2.0)).alias(f"f_{name}_rate")
     )
 
 
@@ -85,18 +87,20 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, seed_word
     ruled = _ruled(_split(pages.select("page_id", "url")), rules)
     seeded = F.col("host").rlike("|".join(seed_words)) if seed_words else F.lit(False)
     known = F.when(F.col("ruling") == "block", 1.0).when(F.col("ruling") == "allow", 0.0).when(seeded, 1.0)
-    labelled = ruled.select("url", "host", "path", known.alias("label")).where("label is not null").distinct()
+    labelled = ruled.withColumn("label", known)
+    distinct = labelled.select("url", "host", "path", "label").where("label is not null").distinct()
     scratch = Scratch(spark)
-    # At most `sample` rows: the bound of what is broadcast and trained on.
-    train = scratch.write(_lexical(labelled.orderBy(F.xxhash64("url"), "url", "label").limit(sample)), "labelled")
+    # At most `sample` rows: the bound of what is trained on.
+    train = scratch.write(_lexical(distinct.orderBy(F.xxhash64("url"), "url", "label").limit(sample)), "labelled")
     classes = [r[0] for r in train.select("label").distinct().collect()]
     if len(classes) < 2:
         only = F.lit("block" if classes == [1.0] else "allow")
         return ruled.select("page_id", "host", "path", "rule", F.coalesce("ruling", only).alias("verdict"), F.lit(None).cast("double").alias("block_score"))
-    suffixes, sites = (scratch.write(_rates(train, k, k), k) for k in ("suffix", "site"))
+    keyed = _keyed(labelled)
+    suffixes, sites = (scratch.write(_rates(keyed, k, k), k) for k in ("suffix", "site"))
 
     def featured(df: DataFrame) -> DataFrame:
-        df = df.join(F.broadcast(suffixes), df["suffix"] == suffixes["suffix_key"], "left").join(F.broadcast(sites), df["site"] == sites["site_key"], "left")
+        df = df.join(suffixes, df["suffix"] == suffixes["suffix_key"], "left").join(sites, df["site"] == sites["site_key"], "left")
         df = df.fillna(0.0, ["f_suffix_log_n", "f_site_log_n"]).fillna(0.5, ["f_suffix_rate", "f_site_rate"])
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df)
 

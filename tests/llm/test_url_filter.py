@@ -1,5 +1,7 @@
+import math
 import re
 
+from provenir.llm import url_filter
 from provenir.llm.url_filter import RULES, judge_urls
 
 URLS = [
@@ -35,3 +37,14 @@ def test_no_labels_and_no_rows(spark):
     one = judge_urls(spark.createDataFrame([(1, "http://q.com/")], "page_id long, url string")).collect()
     assert [r["verdict"] for r in one] == ["allow"]
     assert judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_suffixes_are_counted_over_all_rows(spark, monkeypatch):
+    seen = []
+    rates = url_filter._rates
+    monkeypatch.setattr(url_filter, "_rates", lambda *a: seen.append(rates(*a)) or seen[-1])
+    urls = [f"http://h{k}.net/x" for k in range(30)] + [f"http://h{k}.org/fr/x" for k in range(10)] + ["http://a.xyz/", "http://a.xyz/"]
+    rows = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), sample=8).collect()
+    got = {r["suffix_key"]: (round(math.expm1(r["f_suffix_log_n"])), round(r["f_suffix_rate"], 6)) for r in seen[0].collect()}
+    assert got == {"net": (30, round(31 / 32, 6)), "org": (10, round(1 / 12, 6)), "xyz": (2, 0.5)}
+    assert len(rows) == len(urls) and all(r["block_score"] is not None for r in rows)
