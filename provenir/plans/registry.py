@@ -203,8 +203,8 @@ WORLD: dict[str, Callable[[World], DataFrame]] = {
     "adjudicate": _adjudicated,
     "signals_resolved": _signals_resolved,
     "statements_to_edges": _statements,
-    "export_graphml_lines": lambda w: export.graphml_lines(w.nodes.where("kind <> 'EVENT'"), graph.view_edges(graph.incident(w.edges, SUPPLIER))),
-    "export_dot_lines": lambda w: export.dot_lines(w.nodes.where("kind <> 'EVENT'"), graph.view_edges(graph.incident(w.edges, SUPPLIER))),
+    "export_graphml_lines": lambda w: export.graphml_lines(w.nodes, graph.view_edges(w.edges)),
+    "export_dot_lines": lambda w: export.dot_lines(w.nodes, graph.view_edges(w.edges)),
     "next_local": lambda w: writes.next_local(w.log),
     "retraction_effect": _retraction_effect,
     "eval_grid": _grid,
