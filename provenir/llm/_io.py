@@ -41,13 +41,20 @@ class Scratch:
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _delete(self, paths: list[str]) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            for path in self.paths.pop(name, []):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+            self._delete(self.paths.pop(name, []))
+
+    def drop_but_last(self, name: str) -> None:
+        self._delete(self.paths[name][:-1])
+        del self.paths[name][:-1]
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
