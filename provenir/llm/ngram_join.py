@@ -4,8 +4,8 @@ A document's set holds the hashes of its distinct shingles of SHINGLE words (64
 a 64-bit hash of the set (two different ones of n share one with a probability of about n**2 / 2**65), form a class, and
 classes are joined:
 
-1. Document frequencies are counted over all shingles of all documents. Each task packs sorted 40-bit hashes as
-   deltas by ranges of hashes; a range is counted in one place and gives its part of a sketch of 2**SKETCH_BITS bytes: the
+1. Document frequencies are counted over all shingles of all documents. Each task counts what it holds and packs sorted 40-bit hashes as
+   deltas by ranges of hashes, as many as the number of shingles asks for; a range is counted in one place and gives its part of a sketch of 2**SKETCH_BITS bytes: the
    binary logarithm of the highest frequency that falls on a place. The sketch (8 MB whatever the input) is broadcast.
 2. A global order of shingles goes by that logarithm, then by hash. It need not be exact to be right: any order that
    all documents share gives correct prefixes, and this one puts frequent shingles last.
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from provenir.llm._components import components
+from provenir.llm._components import components, merged
 from provenir.llm._io import Scratch, slices, table
 from provenir.llm._words import spaced, word_hashes
 
@@ -45,11 +45,12 @@ SHINGLE = 5
 PERCENT = 80
 MATCHES = 4
 HOT = 10
-ROUNDS = 4
+ROUNDS = 2
 HUBS = 3
 SKETCH_BITS = 23
 COUNT_BITS = 40
 FLUSH = 4_000_000
+RANGE = 2_000_000
 FREQUENT = 8
 BROADCAST_IDS = 4_000_000
 
@@ -82,21 +83,27 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(deltas.view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
-def frequency_sketch(documents: DataFrame) -> np.ndarray:
-    """For the SKETCH_BITS high bits of a shingle hash: floor(log2) of the highest document frequency there, 0 under FREQUENT."""
-    spark = documents.sparkSession
-    bits = min(16, max(4, (8 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+def frequency_sketch(documents: DataFrame, shingles: int) -> np.ndarray:
+    """For the SKETCH_BITS high bits of a shingle hash: floor(log2) of the highest document frequency there, 0 under FREQUENT.
+
+    shingles, the sum of the sets' sizes, decides how many ranges of hashes are counted apart. Tasks count what they hold before
+    they send it, so a frequent shingle is a few rows of its range whatever the number of its documents.
+    """
+    bits = min(SKETCH_BITS - 4, max(4, (shingles // RANGE).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            tokens = np.sort(np.concatenate(held))
+            tokens, n = np.unique(np.concatenate(held), return_counts=True)
             part = (tokens >> np.uint64(COUNT_BITS - bits)).astype(np.int32)
-            cuts = np.flatnonzero(np.diff(part, prepend=-1, append=1 << bits))
-            blobs = [_pack(tokens[a:b]) for a, b in zip(cuts, cuts[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+            cuts = np.flatnonzero(np.diff(part, prepend=-1, append=1 << bits)).tolist()
+            rows = []
+            for a, b in zip(cuts, cuts[1:]):
+                more = n[a:b] > 1
+                rows.append((int(part[a]), _pack(tokens[a:b]), np.flatnonzero(more).astype(np.int32).tobytes(), n[a:b][more].astype(np.int64).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 3])], ["part", "blob", "at", "n"])
 
         for _, texts in slices(batches):
             for s in shingle_sets(texts):
@@ -109,17 +116,25 @@ def frequency_sketch(documents: DataFrame) -> np.ndarray:
             yield flush()
 
     def reduce(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = np.sort(np.concatenate([_unpack(b) for batch in batches for b in batch.column("blob").to_pylist()]))
-        edge = np.flatnonzero(np.diff(tokens, prepend=tokens[0] ^ np.uint64(1)))
-        n = np.diff(np.append(edge, len(tokens)))
+        tokens, counts = [], []
+        for batch in batches:
+            for blob, at, n in zip(*(batch.column(c).to_pylist() for c in ("blob", "at", "n"))):
+                tokens.append(_unpack(blob))
+                counts.append(np.ones(len(tokens[-1]), np.int64))
+                counts[-1][np.frombuffer(at, np.int32)] = np.frombuffer(n, np.int64)
+        each, every = np.concatenate(tokens), np.concatenate(counts)
+        order = np.argsort(each, kind="stable")
+        each = each[order]
+        edge = np.flatnonzero(np.diff(each, prepend=each[0] ^ np.uint64(1)))
+        n = np.add.reduceat(every[order], edge)
         often = n >= FREQUENT
         sketch = np.zeros(1 << (SKETCH_BITS - bits), np.uint8)
-        at = (tokens[edge[often]] >> np.uint64(COUNT_BITS - SKETCH_BITS)).astype(np.int64) & (len(sketch) - 1)
+        at = (each[edge[often]] >> np.uint64(COUNT_BITS - SKETCH_BITS)).astype(np.int64) & (len(sketch) - 1)
         np.maximum.at(sketch, at, np.log2(n[often]).astype(np.uint8))
         if often.any():
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([sketch.tobytes()], pa.binary())], ["part", "sketch"])
 
-    packed = documents.select("text").mapInArrow(count, "part int, blob binary")
+    packed = documents.select("text").mapInArrow(count, "part int, blob binary, at binary, n binary")
     parts = packed.groupBy("part").applyInArrow(reduce, "part int, sketch binary").collect()  # 2**SKETCH_BITS bytes at most
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in parts:
@@ -181,7 +196,7 @@ def _prefixes(documents: DataFrame, sketch: np.ndarray) -> DataFrame:
 
 
 def _token_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """k, tokens of the sets in wanted(k, doc), read from the texts of the documents doc."""
+    """k, tokens of the sets in wanted(k, doc), read from the texts of the documents doc. A repeated row gives a repeated set."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in slices(batches):
@@ -189,11 +204,13 @@ def _token_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             lists = pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in found], pa.int64()), lists], ["k", "tokens"])
 
-    ids = wanted.selectExpr("doc id").distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    own = documents.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(tokens, "k long, tokens array<long>")
-    return own.join(wanted, "k", "left_semi").dropDuplicates(["k"])
+    ids = _few(wanted.selectExpr("doc id").distinct())
+    return documents.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(tokens, "k long, tokens array<long>")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """Marked for a broadcast if it has no more than BROADCAST_IDS rows (of one or two numbers)."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 def _similar_sizes(a: str, b: str) -> str:
@@ -214,33 +231,35 @@ def _grouped(rows: DataFrame, aggregates: dict[str, Column]) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The links among pairs (a, b) of sets."""
-    both = pairs.join(sets.toDF("x", "s"), F.col("a") == F.col("x")).join(sets.toDF("y", "r"), F.col("b") == F.col("y"))
+    own = sets.join(_few(pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()), F.col("k") == F.col("of"), "left_semi")
+    both = pairs.join(own.toDF("x", "s"), F.col("a") == F.col("x")).join(own.toDF("y", "r"), F.col("b") == F.col("y"))
     shared = both.select("a", "b", (F.size("s") + F.size("r")).alias("both"), F.size(F.array_intersect("s", "r")).alias("shared"))
     return shared.where(f"100 * shared >= {PERCENT} * (both - shared)").select("a", "b").distinct()
 
 
-def _links(documents: DataFrame, least: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between the keys of different sets that connect all that similarity connects. least: k, doc."""
-    spark = documents.sparkSession
-    one = _prefixes(documents, frequency_sketch(documents)).groupBy("k").agg(*(F.first(c).alias(c) for c in ("n", "m", "cold", "hot")))
+def _links(documents: DataFrame, least: DataFrame, shingles: int, scratch: Scratch) -> DataFrame:
+    """The components (id, component) of the keys of different sets, by links between them. least: k, doc."""
+    one = _prefixes(documents, frequency_sketch(documents, shingles)).groupBy("k").agg(*(F.first(c).alias(c) for c in ("n", "m", "cold", "hot")))
     one = scratch.write(one, "prefixes")
     sizes = scratch.write(one.select(F.col("k").alias("of_k"), "n", "m"), "sizes")
     tagged = lambda c, hot: F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(hot).alias("hot")))
     rows = one.select("k", F.inline(F.concat(tagged("cold", False), tagged("hot", True))))
-    rows = scratch.write(_grouped(rows, {"x": F.count("*")}).where("x > 1").drop("x"), "postings")
-    scratch.drop("prefixes")
-    links = spark.createDataFrame([], "a long, b long")
-    if rows.isEmpty():
-        return links
-    sets = scratch.write(_token_sets(documents, least.join(rows.select("k").distinct(), "k", "left_semi")), "sets")
+    joined = documents.sparkSession.createDataFrame([], "id long, component long")
+    sets, before = None, "prefixes"
     for turn in range(ROUNDS + 1):
-        of = components(links, scratch) if turn else links.selectExpr("a id", "b component")
-        placed = rows.join(of, F.col("k") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "k")).drop("id", "component")
+        placed = rows.withColumn("comp", F.col("k"))
+        if turn:
+            placed = rows.join(_few(joined), F.col("k") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "k")).drop("id", "component")
         hub = F.min_by(F.struct("k", "comp"), F.xxhash64("k", "token", F.lit(turn)) if turn else F.col("k"))
+        # The rows of a token in one component only, at first those of one set only, need no more comparisons.
         apart = _grouped(placed, {"low": F.min("comp"), "high": F.max("comp"), "hub": hub}).where("low < high").drop("low", "high")
         apart = scratch.write(apart, f"apart{turn}")
+        scratch.drop(before)
+        before = f"apart{turn}"
         if apart.isEmpty():
             break
+        if sets is None:
+            sets = scratch.write(_token_sets(documents, least.join(apart.select("k").distinct(), "k", "left_semi")), "sets")
         a, b = sizes, sizes.toDF("of_k2", "n2", "m2")
         if turn < ROUNDS:
             # A few hubs for each set, which sets with common shingles choose alike; the last turn sees all that stays apart.
@@ -249,16 +268,17 @@ def _links(documents: DataFrame, least: DataFrame, scratch: Scratch) -> DataFram
             pairs = chosen.select("a", F.explode("hubs.b").alias("b"))
             pairs = pairs.join(a, F.col("a") == F.col("of_k")).join(b, F.col("b") == F.col("of_k2")).where(_similar_sizes("n", "n2"))
         else:
-            sized = apart.drop("hub").join(a, F.col("k") == F.col("of_k")).drop("of_k")
+            sized = apart.drop("hub").join(_few(a), F.col("k") == F.col("of_k")).drop("of_k")
             other = sized.selectExpr("token token2", "k b", "n n2", "m m2", "comp comp2")
             near = sized.join(other, F.expr("token = token2 and comp < comp2 and " + _similar_sizes("n", "n2")))
             pairs = near.groupBy(F.col("k").alias("a"), "b").agg(F.count("*").alias("x"), F.first(F.least("m", "m2")).alias("asked")).where("x >= asked")
-        found = scratch.write(_verified(pairs.select("a", "b"), sets), f"links{turn}")
-        links = links.unionByName(found) if turn else found
-        rows = apart.drop("hub", "comp")
-        if turn:
-            scratch.drop(f"apart{turn - 1}")
-    return links
+        pairs = scratch.write(pairs.select("a", "b"), "pairs")
+        found = scratch.write(_verified(pairs, sets), "found")
+        grown = scratch.write(merged(joined, found, scratch), f"joined{turn}")
+        scratch.drop("pairs", "found", "stars", f"joined{turn - 1}")
+        joined, rows = grown, apart.drop("hub", "comp")
+    scratch.drop("sets", "sizes", before)
+    return joined
 
 
 def link_documents(documents: DataFrame) -> DataFrame:
@@ -268,11 +288,22 @@ def link_documents(documents: DataFrame) -> DataFrame:
     sets = scratch.write(_sets(docs), "documents")
     full = sets.where("n_shingles > 0 and doc_id is not null")
     least = scratch.write(full.groupBy("k").agg(F.min("doc_id").alias("doc")), "least")
-    copies = full.join(least, "k").where("doc_id <> doc").selectExpr("doc_id a", "doc b")
-    links = _links(docs, least, scratch)
-    links = links.join(least.toDF("x", "d"), F.col("a") == F.col("x")).join(least.toDF("y", "e"), F.col("b") == F.col("y")).selectExpr("d a", "e b")
-    of = components(copies.unionByName(links), scratch)
-    scratch.drop("sets", "sizes", "postings", "least", *(f"{x}{k}" for x in ("apart", "links") for k in range(ROUNDS + 1)))
+    shingles = full.agg(F.sum("n_shingles")).head()[0] or 0
+    joined = _links(docs, least, shingles, scratch)
+    # A document of a set to that set's component, and the component to its least document: all by the least doc of a key.
+    comp = least.join(joined, F.col("k") == F.col("id"), "left").select("k", F.coalesce("component", "k").alias("comp"), "doc")
+    root = comp.groupBy(F.col("comp").alias("c")).agg(F.min("doc").alias("root"))
+    of_set = scratch.write(comp.join(root, F.col("comp") == F.col("c")).select("k", "root"), "roots")
+    placed = full.join(of_set, "k").select("doc_id", "root")
+    # Rows of one doc_id with several texts link their components.
+    links = placed.groupBy("doc_id").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
+    every = placed.where("doc_id <> root").selectExpr("doc_id a", "root b")
+    if not links.isEmpty():
+        of = components(every, scratch)
+    else:
+        of = every.distinct().selectExpr("a id", "b component")
+    of = scratch.write(of, "components")
+    scratch.drop("roots", "least", "stars", *(f"joined{k}" for k in range(ROUNDS + 1)))
     return sets.join(of, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
