@@ -11,6 +11,8 @@ from pyspark.sql.types import StringType
 
 # Letters whose stroke does not decompose.
 STROKES = ("łŁøØđĐħĦ", "lLoOdDhH")
+# Titles that a spelling may go without.
+HONORIFICS = ["sir", "lord", "lady", "dame", "dr", "rev", "reverend", "prof", "professor"]
 
 
 @F.pandas_udf(StringType())  # a type by name would need a session at import
@@ -29,7 +31,10 @@ def spellings(name: Column) -> Column:
     """The name, then without a number in brackets at its end, then without an honorific: distinct, in that order."""
     plain = F.trim(name)
     bare = F.trim(F.regexp_replace(plain, r"\s*\([0-9]+\)$", ""))
-    return F.array_distinct(F.array(plain, bare, F.trim(F.regexp_replace(bare, r"^(?i:sir|dame|dr\.?|saint|st\.?)\s+", ""))))
+    bare = F.when(bare == "", plain).otherwise(bare)
+    title = F.replace(F.lower(F.substring_index(bare, " ", 1)), F.lit("."), F.lit(""))
+    rest = F.trim(F.regexp_replace(bare, "^[^ ]* ?", ""))
+    return F.array_distinct(F.array(plain, bare, F.when(title.isin(HONORIFICS) & (rest != ""), rest).otherwise(bare)))
 
 
 def day_of(time: Column, precision: Column) -> Column:

@@ -145,18 +145,16 @@ class Fold:
 
 
 def merge_claims(claims: DataFrame) -> DataFrame:
-    """Claims with folded ends f and t -> edges with sources in log order. One shuffle on the edge's key."""
+    """Claims with folded ends f and t -> edges with sources in log order: of equal (source_id, source_ref) the first, so that
+    repeated claims are aggregated before an edge's sources are gathered."""
+    dated = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("seq", c)))
     source = F.struct("seq", "source_id", "source_ref", "asserted_at", "confidence")
-    grouped = claims.groupBy(F.col("f").alias("from_qid"), "type_code", F.col("t").alias("to_qid")).agg(
-        F.array_sort(F.collect_list(source)).alias("said"),
-        F.min_by("valid_from", F.when(F.col("valid_from").isNotNull(), F.col("seq"))).alias("valid_from"),
-        F.min_by("valid_to", F.when(F.col("valid_to").isNotNull(), F.col("seq"))).alias("valid_to"),
-        F.min("seq").alias("first_seq"),
+    said = claims.groupBy(F.col("f").alias("from_qid"), "type_code", F.col("t").alias("to_qid"), F.col("source_id").alias("_id"), F.col("source_ref").alias("_ref")).agg(
+        F.min(source).alias("said"), dated("valid_from").alias("_from"), dated("valid_to").alias("_to")
+    )
+    return said.groupBy("from_qid", "type_code", "to_qid").agg(
+        F.min("_from")["valid_from"].alias("valid_from"), F.min("_to")["valid_to"].alias("valid_to"), F.min("said")["seq"].alias("first_seq"), F.array_sort(F.collect_list("said")).alias("sources")
     )
-    key = lambda s: F.concat(s["source_id"], F.lit("\x1f"), F.coalesce(s["source_ref"], F.lit("\x1e")))
-    keys = grouped.withColumn("_keys", F.transform("said", key))
-    kept = F.filter("said", lambda s, i: F.array_position(F.col("_keys"), key(s)) == i + 1)
-    return keys.withColumn("sources", kept).drop("said", "_keys")
 
 
 def endpoints_held(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from provenir.operators.fold import best_confidence, corroboration, is_hypothesis, valid_at
 from provenir.sources.shared import materialize
 
-# Classes of recognition institutions in the derived log's vocabulary.
-RECOGNITION = ["Q431289"]
+# Classes of institutions whose members are recognised, not colleagues (learned society, academy of sciences, labor
+# union, hall of fame, professional association, scientific society, writers union).
+RECOGNITION = ["Q955824", "Q414147", "Q178790", "Q1046088", "Q829080", "Q748019", "Q12057459"]
 HUB_DEGREE = 10
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 PROMOTED = 4
 SUPPRESSED = 2
+NEUTRAL = 0.5
 
 
 def upsert_ratings(existing: DataFrame, changes: DataFrame) -> DataFrame:
@@ -50,10 +51,11 @@ def not_offered(resolved: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def interest(resolved: DataFrame, signals: DataFrame, merges: DataFrame) -> DataFrame:
-    """qid, confidence, evidence. A rating beats every signal; the best signal counts."""
-    level = F.when(F.col("loved"), 0.7).when(F.col("play_count") >= 25, 0.6).when(F.col("play_count") >= 5, 0.55).otherwise(0.5)
+    """qid, confidence, evidence. A rating beats every signal; the best signal counts. Nothing is inferred from signals that are
+    neutral: such an id has no row, as one that was never heard."""
+    level = F.when(F.coalesce("loved", F.lit(False)) | F.coalesce("favorited", F.lit(False)), 0.7).when(F.col("play_count") >= 25, 0.6).when(F.col("play_count") >= 5, 0.55).otherwise(NEUTRAL)
     heard = signals.join(merges, F.col("qid") == F.col("local"), "left").select(F.coalesce("canonical", "qid").alias("qid"), level.alias("level"))
-    inferred = heard.groupBy("qid").agg(F.max("level").alias("confidence")).join(resolved, "qid", "left_anti").select("qid", "confidence", F.lit("INFERRED").alias("evidence"))
+    inferred = heard.groupBy("qid").agg(F.max("level").alias("confidence")).where(F.col("confidence") > NEUTRAL).join(resolved, "qid", "left_anti").select("qid", "confidence", F.lit("INFERRED").alias("evidence"))
     return resolved.select("qid", ((F.col("rating") - 1) / 4).alias("confidence"), F.lit("RATED").alias("evidence")).unionByName(inferred)
 
 

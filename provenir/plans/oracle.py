@@ -73,7 +73,7 @@ half as materialized (
   union all select to_qid, from_qid, type_code, true, best, guess from edges where from_qid <> to_qid),
 degrees as materialized (select n.qid, count(h.src) degree from nodes n left join half h on n.qid = h.src group by 1),
 hubs as materialized (
-  select n.qid, n.kind, d.degree from nodes n join degrees d using (qid) where (n.kind = 'CONCEPT' and d.degree >= 10) or list_contains(string_split(n.classes, ' '), 'Q431289')),
+  select n.qid, n.kind, d.degree from nodes n join degrees d using (qid) where (n.kind = 'CONCEPT' and d.degree >= 10) or list_has_any(string_split(n.classes, ' '), ['Q955824', 'Q414147', 'Q178790', 'Q1046088', 'Q829080', 'Q748019', 'Q12057459'])),
 firsts as materialized (select "local", min(seq) prio, arg_max(canonical, seq) canonical from sa group by 1),
 resolved as materialized (
   select coalesce(f.canonical, r.qid) qid, arg_min(r.rating, coalesce(f.prio, -1)) rating, arg_min(r.updated_at, coalesce(f.prio, -1)) updated_at
@@ -82,11 +82,11 @@ known as materialized (select qid, 0 part from file union all select qid, 1 from
 suppressed as (select qid from resolved where rating <= 2),
 notoffered as (select qid from suppressed union select "local" from merges),
 heard as (
-  select coalesce(m.canonical, s.qid) qid, max(case when loved then 0.7 when play_count >= 25 then 0.6 when play_count >= 5 then 0.55 else 0.5 end) level
+  select coalesce(m.canonical, s.qid) qid, max(case when loved or favorited then 0.7 when play_count >= 25 then 0.6 when play_count >= 5 then 0.55 else 0.5 end) level
   from signals s left join merges m on s.qid = m.local group by 1),
 interest as materialized (
   select qid, cast((rating - 1) / 4.0 as double) confidence, 'RATED' evidence from resolved
-  union all select qid, cast(level as double), 'INFERRED' from heard where qid not in (select qid from resolved)),
+  union all select qid, cast(level as double), 'INFERRED' from heard where level > 0.5 and qid not in (select qid from resolved)),
 expanded as materialized (
   select distinct case when regexp_matches(source_ref, '^wdqs:.*:Q[0-9]+$') then list_last(string_split(source_ref, ':')) else upper(string_split(source_ref, '$')[1]) end qid
   from log where kind = 'EDGE' and (regexp_matches(source_ref, '^wdqs:.*:Q[0-9]+$') or regexp_matches(source_ref, '^[Qq][0-9]+\\$'))),
@@ -154,7 +154,7 @@ def _grid_free() -> dict[str, str]:
         "degree_incident": "select * from degrees",
         "degree_endpoint": "select n.qid, coalesce(a.k, 0) + coalesce(b.k, 0) degree from nodes n left join (select from_qid q, count(*) k from edges group by 1) a on n.qid = a.q left join (select to_qid q, count(*) k from edges group by 1) b on n.qid = b.q",
         "hubs": "select * from hubs",
-        "neighbourhood_depth2": f", inner_ as (select '{CUSTOMER}' q union select dst from half where src = '{CUSTOMER}') select from_qid, type_code, to_qid from edges where from_qid in (select q from inner_) or to_qid in (select q from inner_)",
+        "neighbourhood_depth2": f", inner_ as (select '{CUSTOMER}' q union select dst from half where src = '{CUSTOMER}') select from_qid, type_code, to_qid from edges semi join inner_ on from_qid = q union select from_qid, type_code, to_qid from edges semi join inner_ on to_qid = q",
         "induced_subgraph": "select from_qid, type_code, to_qid from edges where from_qid in (select qid from known) and to_qid in (select qid from known)",
         "isolated_members": "select * from lonely",
         "to_expand_beside": "select distinct h.dst qid from half h join nodes n on n.qid = h.dst where h.src in (select qid from lonely) and n.kind in ('PERSON', 'GROUP') and h.dst not like 'Q00%' and h.dst not in (select qid from expanded)",
@@ -179,7 +179,7 @@ def _grid_free() -> dict[str, str]:
         "regard": "select qid, round((4 * confidence + 1) / 3, 6) regard from interest",
         "ratings_listing": "select r.qid, r.rating, coalesce(n.label, '(not in the graph)') label from resolved r left join nodes n using (qid)",
         "sweep_evidence": "select candidate, count(*) ways, round(sum(w1 * w2), 6) weight from evidence group by 1",
-        "rec_explained": f", ranked as (select * from ({_ranked('resource_allocation')}) r), reach as (select candidate, seed, sum(w1 * w2) reach from evidence where candidate in (select candidate from ranked) group by 1, 2) select candidate, seed, row_number() over (partition by candidate order by round(reach, 9) desc, seed) k, round(reach, 6) reach from reach qualify k <= 3",
+        "rec_explained": f", ranked as (select * from ({_ranked('resource_allocation')}) r), reach as (select candidate, seed, sum(w1 * w2) reach, arg_max(via, {{'w': w1 * w2 / via_degree, 'v': via}}) best_via from evidence where candidate in (select candidate from ranked) group by 1, 2) select candidate, seed, row_number() over (partition by candidate order by round(reach, 9) desc, seed) k, round(reach, 6) reach, best_via from reach qualify k <= 3",
         "floor_reading": f", head as (select * from ({_ranked('resource_allocation')}) r), pool as (select distinct candidate, degree from evidence), people as (select distinct candidate, degree from everyone) select (select min(degree) from (select degree, sum(count(*)) over (order by degree) upto from pool group by 1) x where upto > (select count(*) from pool) // 2) pool_median, (select count(*) from pool) pool, (select count(*) from people where degree < {FLOOR}) held_out, (select count(*) from people where degree = 1) held_out_at_one, (select list_sort(list(degree))[count(*) // 2 + 1] from head) head_median, (select count(*) from head where degree = {FLOOR}) on_floor, (select count(*) from head where intermediates = degree) every_edge_counted",
         "eval_holdout": "select r.qid, r.rating, ((row_number() over (order by r.qid) - 1) % 5)::int fold from resolved r join nodes n using (qid) where r.rating >= 4 and n.kind in ('PERSON', 'GROUP') and r.qid not in (select qid from file)",
         "deck_revision": "select r.qid, r.rating, d.degree from resolved r join degrees d using (qid) where r.rating = 5 and (r.qid in (select qid from known) or r.qid in (select qid from suppressed))",

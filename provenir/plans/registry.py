@@ -81,7 +81,7 @@ def _recommended(scorer: str) -> Callable[[World], DataFrame]:
 
 def _explained(w: World) -> DataFrame:
     e = recommend.above_floor(w.evidence)
-    return recommend.explain(e, recommend.rank(recommend.score(e, "resource_allocation"))).select("candidate", "seed", "k", F.round("reach", 6).alias("reach"))
+    return recommend.explain(e, recommend.rank(recommend.score(e, "resource_allocation"))).select("candidate", "seed", "k", F.round("reach", 6).alias("reach"), "best_via")
 
 
 def _paths(hops: int, limit: int | None = None) -> Callable[[World], DataFrame]:

@@ -40,7 +40,7 @@ STATEMENTS = [
     _rows(3, "s_suppkey", "NODE", "supplier", qid=S, node_kind="'GROUP'", label="s_name", instance_of="'Q215380 Q43229'"),
     _rows(4, "p_partkey", "NODE", "part", qid=P, node_kind="'WORK'", label="p_name", instance_of="'Q482994'"),
     _rows(5, "o_orderkey", "NODE", "orders", qid=O, node_kind="'EVENT'", label="concat('Order ', cast(o_orderkey as string))"),
-    _rows(6, "cast(replace(p_brand, 'Brand#', '') as bigint)", "NODE", "(select distinct p_brand from part) b", qid=BRAND, node_kind="'CONCEPT'", label="p_brand", instance_of="'Q431289'"),
+    _rows(6, "cast(replace(p_brand, 'Brand#', '') as bigint)", "NODE", "(select distinct p_brand from part) b", qid=BRAND, node_kind="'CONCEPT'", label="p_brand", instance_of="'Q431289 Q955824'"),
     _rows(6, "100000 + ascii(c_mktsegment)", "NODE", "(select distinct c_mktsegment from customer) g", qid=SEGMENT, node_kind="'CONCEPT'", label="c_mktsegment"),
     _rows(10, "n_nationkey", "EDGE", "nation", qid=N, to_qid=_id("Q5", "n_regionkey"), type_code="'PART_OF'"),
     _rows(11, "c_custkey", "EDGE", "customer", qid=C, to_qid=_id("Q4", "c_nationkey"), type_code="'MEMBER_OF'"),
@@ -71,6 +71,8 @@ STATEMENTS = [
     _rows(
         51, LINE_SEQ, "OWNER_EDGE", "lineitem where l_linenumber = 7", qid=_id("Q2", "l_suppkey"), to_qid=_id("Q3", "l_partkey"), type_code="'PERFORMED'", source_id="'owner'", asserted_at="timestamp '2026-08-30 12:00:00'"
     ),
+    # Ends without a node.
+    _rows(52, "c_custkey", "OWNER_EDGE", "customer where c_custkey % 70 = 11", qid=C, to_qid=_id("Q17", "c_custkey"), type_code="'SIMILAR_TO'", source_id="'owner'", asserted_at="timestamp '2026-08-30 12:00:00'"),
 ]
 LOG_SQL = "\nunion all\n".join(STATEMENTS)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenir.schema import EDGE_TYPES
@@ -12,15 +12,20 @@ def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-def read_qids(spark: SparkSession, path: str) -> DataFrame:
-    """qid, ord: of each line the first comma-separated field that is an id, each once at its first line.
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """value, ord: the lines of one hand-written file and their numbers from 0. Such a file is a row, so that no split of it
+    can shift a number."""
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("ord", "value"))
+
 
-    The order is Spark's row index of the text file, which holds within one file.
-    """
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("ord"))
-    fields = F.transform(F.split("value", ","), lambda f: F.regexp_replace(F.trim(f), '^"|"$', ""))
-    found = lines.select(F.get(F.filter(fields, lambda f: f.rlike(r"^Q[0-9]+\z")), F.lit(0)).alias("qid"), "ord").where("qid is not null")
-    return found.groupBy("qid").agg(F.min("ord").alias("ord"))
+def read_qids(spark: SparkSession, path: str) -> DataFrame:
+    """qid, ord: of each line the first comma-separated field that is an id, each once at its first line. A list without any is refused."""
+    fields = F.transform(F.split("value", ","), lambda f: F.replace(F.trim(f), F.lit('"'), F.lit("")))
+    found = _numbered(spark, path).select(F.get(F.filter(fields, lambda f: f.rlike(r"^Q[0-9]+\z")), F.lit(0)).alias("qid"), "ord").where("qid is not null")
+    found = found.groupBy("qid").agg(F.min("ord").alias("ord"))
+    if found.isEmpty():
+        raise ValueError(f"no id in {path}: expected one on a line, or a mapping file with a column of them")
+    return found
 
 
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
@@ -32,16 +37,24 @@ def read_resolution(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_signals(spark: SparkSession, path: str) -> DataFrame:
-    """artist, play_count, loved, favorited; yes-words are true, no-words and blanks false, others null."""
-    raw = _csv(spark, path, "artist string, play_count long, loved string, favorited string")
-    flag = lambda c: F.when(F.lower(F.trim(F.coalesce(c, F.lit("")))).isin("1", "true", "yes"), True).when(F.lower(F.trim(F.coalesce(c, F.lit("")))).isin("0", "false", "no", ""), False)
-    return raw.withColumns({"loved": flag("loved"), "favorited": flag("favorited")})
+    """artist, play_count, loved, favorited; yes-words are true, no-words and blanks false. Reading fails on any other flag and on
+    a count that is no whole number."""
+    raw = _csv(spark, path, "artist string, play_count string, loved string, favorited string")
+
+    def flag(name: str) -> Column:
+        word = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+        bad = F.raise_error(F.lit(f"{path} has a {name} value that is not true or false")).cast("boolean")
+        return F.when(word.isin("1", "true", "yes"), True).when(word.isin("0", "false", "no", ""), False).otherwise(bad)
+
+    text = F.trim(F.coalesce("play_count", F.lit("")))
+    count = F.when(text.rlike(r"^[+-]?[0-9]{1,18}\z"), F.expr("try_cast(trim(play_count) as bigint)")).otherwise(F.raise_error(F.lit(f"{path} has a play_count that is not a whole number")).cast("bigint"))
+    return raw.select(F.trim("artist").alias("artist"), count.alias("play_count"), flag("loved").alias("loved"), flag("favorited").alias("favorited"))
 
 
 def read_claims(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Owner claims (from, to, type) and the rows that are no claim, with their line number. Nothing may be taken if
     there are any of these."""
-    lines = spark.read.text(path).select("value", (F.monotonically_increasing_id() + 1).alias("line")).where("trim(value) <> '' and not trim(value) like '#%' and trim(value) <> 'from,to,type'")
+    lines = _numbered(spark, path).select("value", (F.col("ord") + 1).alias("line")).where("trim(value) <> '' and not trim(value) like '#%' and trim(value) <> 'from,to,type'")
     parts = F.split("value", ",")
     rows = lines.select("line", "value", *(F.trim(F.get(parts, F.lit(k))).alias(n) for k, n in enumerate(("from_qid", "to_qid", "type_code"))), F.size(parts).alias("n"))
     known = F.col("type_code").isin([t[0] for t in EDGE_TYPES])

@@ -12,7 +12,7 @@ ENTITY = "labels map<string, struct<value: string>>, claims map<string, array<st
 # Properties of a reference that only says where a statement was copied from.
 NOT_A_REFERENCE = ["P143", "P4656"]
 # A catalogue's relation types as edge types.
-RELATIONS = {"member of band": "MEMBER_OF", "collaboration": "COLLABORATED_WITH"}
+RELATIONS = {"member of band": "MEMBER_OF"}
 
 
 def _vocabulary(df: DataFrame) -> DataFrame:
