@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from provenir.functions.classes import CLASS_LABELS
+from provenir.operators.export import LABELLED_EDGES, STYLES
 from provenir.operators.recommend import FLOOR, LIMIT
 from provenir.schema import EDGE_TYPES, NODE_KINDS, SELF_STATED
 from provenir.sources import derived_log
@@ -192,6 +194,37 @@ def _grid_free() -> dict[str, str]:
     return q
 
 
+def _documents() -> dict[str, str]:
+    """Both export documents, whole."""
+    xml = lambda c: f"replace(replace(replace(replace(coalesce({c}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+    dot = lambda c: f"'\"' || replace(replace(replace(coalesce({c}, ''), '\\', '\\\\'), '\"', '\\\"'), chr(10), ' ') || '\"'"
+    data = lambda k, c: f"'      <data key=\"{k}\">' || {xml(c)} || '</data>' || chr(10)"
+    edges = """, firstseq as (select f, type_code tc, t, min(seq) first_seq, string_agg(distinct source_id, '|') x from sources group by 1, 2, 3),
+names_ as (select f, type_code tc, t, string_agg(source_id, '|' order by seq) ids from (select f, type_code, t, source_id, min(seq) seq from sources group by 1, 2, 3, 4) y group by 1, 2, 3),
+drawn as (select e.*, p.first_seq, i.ids, row_number() over (order by p.first_seq) - 1 number from edges e join firstseq p on e.from_qid = p.f and e.type_code = p.tc and e.to_qid = p.t join names_ i on e.from_qid = i.f and e.type_code = i.tc and e.to_qid = i.t),
+"""
+    rows = lambda part, lines: f"select {part} part, lpad((k - 1)::varchar, 20, '0') ord, x line from (select unnest([{', '.join(chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for x in lines)}]) x, generate_subscripts([{', '.join('0' for _ in lines)}], 1) k) z"
+    space = "http://graphml.graphdrawing.org/xmlns"
+    keys = [("kind", "node", "string"), ("label", "node", "string"), ("instanceOf", "node", "string"), ("typeCode", "edge", "string"), ("confidence", "edge", "double"), ("sourceId", "edge", "string")]
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', f'<graphml xmlns="{space}"', '         xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"', f'         xsi:schemaLocation="{space} {space}/1.0/graphml.xsd">', "  <desc>the whole graph</desc>"]
+    head += [f'  <key id="{k}" for="{w}" attr.name="{k}" attr.type="{t}"/>' for k, w, t in keys] + ['  <graph id="provenir" edgedefault="directed">']
+    graphml = f"""{edges}done as (select 1)
+{rows(0, head)}
+union all select 1, qid, '    <node id="' || {xml('qid')} || '">' || chr(10) || {data('kind', 'kind')} || {data('label', 'label')} || case when classes <> '' then {data('instanceOf', 'classes')} else '' end || '    </node>' from nodes
+union all select 2, lpad(first_seq::varchar, 20, '0'), '    <edge id="e' || number || '" source="' || from_qid || '" target="' || to_qid || '">' || chr(10) || {data('typeCode', 'type_code')} || {data('confidence', 'best::varchar')} || {data('sourceId', 'ids')} || '    </edge>' from drawn
+union all {rows(3, ['  </graph>', '</graphml>'])}"""
+    style = lambda k: "case kind " + " ".join(f"when '{n}' then '{s[k]}'" for n, s in STYLES.items()) + " end"
+    called = "list_transform(string_split(classes, ' '), lambda c: case c " + " ".join(f"when '{q}' then '{n.replace(chr(39), chr(39) * 2)}'" for q, n in CLASS_LABELS.items()) + " else c end)"
+    label = f"(select case when count(*) <= {LABELLED_EDGES} then 1 else 0 end from edges)"
+    dotted = f"""{edges}done as (select 1)
+{rows(0, ['digraph "the whole graph" {', '  graph [overlap=false, splines=true];', '  node [style=filled, fillcolor=white, fontcolor=black];'])}
+union all select 1, qid, '  ' || {dot('qid')} || ' [label=' || {dot('label')} || ', shape=' || {style(0)} || ', fillcolor="' || {style(1)} || '", tooltip=' || case when classes = '' then '"no stated class"' else {dot(f"array_to_string({called}, ', ')")} end || '];' from nodes
+union all select 2, lpad(first_seq::varchar, 20, '0'), '  ' || {dot('d.from_qid')} || ' -> ' || {dot('d.to_qid')} || ' [' || case when {label} = 1 then 'label=' || {dot('d.type_code')} || ', ' else '' end || 'tooltip=' || {dot("coalesce(a.label, d.from_qid) || ' -' || d.type_code || '-> ' || coalesce(b.label, d.to_qid)")} || '];'
+  from drawn d left join nodes a on a.qid = d.from_qid left join nodes b on b.qid = d.to_qid
+union all {rows(3, ['}'])}"""
+    return {"export_graphml_lines": graphml, "export_dot_lines": dotted}
+
+
 def queries() -> dict[str, str]:
     out = {name: BASE + ("" if body.startswith(",") else " ") + body for name, body in _grid_free().items()}
     key = lambda c: f"regexp_replace(regexp_replace(lower(trim({c})), '^the\\s+', ''), '[^a-z0-9]', '', 'g')"
@@ -220,6 +253,7 @@ select 'Q2' || lpad(s_suppkey::varchar, 8, '0') from_qid, 'MEMBER_OF' type_code,
        case when s_suppkey % 2 = 1 then make_date(1910 + s_suppkey % 90, 5, 1) end valid_from, cast(null as date) valid_to,
        case when s_suppkey % 2 = 0 then 0.8 else 1.0 end::double confidence, 's' || s_suppkey source_ref from supplier where s_suppkey % 9 <> 0
 union all select 'Q1', 'PERFORMED', 'Q2' || lpad(s_suppkey::varchar, 8, '0'), null, null, 0.8, 'Q2' || lpad(s_suppkey::varchar, 8, '0') || '$P175$Q1' from supplier"""
+    out |= {name: BASE + sql for name, sql in _documents().items()}
     out["next_local"] = BASE + " select max(substr(id, 4)::bigint) + 1 as number from (select qid id from log union all select to_qid from log) x where id like 'Q00%'"
     out["events_windowed"] = "select time_bucket(interval '1 hour', ts) begins, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2"
     return out
