@@ -1,17 +1,18 @@
 """Byte-level BPE encoding and decoding.
 
 Texts are split by the tokenizer's pattern; the distinct words of each run of documents become byte arrays, and Spark's
-higher-order functions fold the ranked merges over them: the state is the word's ids and the ranks of
-its neighbouring pairs, each step merges the leftmost pair of the lowest rank. The rank map is a literal: the ranks of
-all pairs of tokens whose bytes join to a token, in one flat array where a pair has two places. Decoding
-looks every id up in a literal array of pieces and concatenates them. Documents are independent, so there is no shuffle,
-and a run's size is bounded but for a single longer text.
+higher-order functions fold the ranked merges over them: the state is an array with an entry for each token of the word, and
+each step merges the leftmost pair of the lowest rank. An entry is one number: the rank that the token and its successor merge at, then the
+place where the token begins, then its id; so the least entry is the pair to merge, and no two entries are equal. The rank map is a literal:
+the pairs of tokens whose bytes join to a token, in one flat array, in which the pair (a, b) is at base[a] + b and names a as its owner. Decoding looks
+every id up in an array of binary pieces and concatenates them. Documents are independent, so there is no shuffle, and a run's size is bounded but for a single longer text.
 
 The fold's cost grows with the square of a word's length, so words of more than LONG bytes (runs of blanks, keys)
 are merged by a heap in the Python task that splits the text; both ways give the same ids.
 
 Defined results: a null text is empty and has no ids; repeated rows are encoded alike and all returned; other columns are
-ignored; an empty table gives an empty result. The vocabulary's file is a parameter, read on the driver.
+ignored; an empty table gives an empty result. The vocabulary's file is a parameter, read on the driver; one with ids of
+ID_BITS bits or more is refused.
 """
 
 from __future__ import annotations
@@ -29,11 +30,14 @@ from pyspark.sql import functions as F
 
 from provenir.llm._io import slices, table
 
-LONG = 128
+LONG = 1024
 RUN_BYTES = 14_000_000
-NONE = 1 << 30
-SLOTS = 1 << 19
-MULTIPLIERS = (2654435761, 2246822519)  # spread keys below 50257 << 16; the products stay within 63 bits
+PIECES = 512
+WINDOW = 1024
+ID_BITS, PLACE_BITS = 17, 26
+NONE = (1 << 63 - ID_BITS - PLACE_BITS) - 1  # a rank above all
+IDS = (1 << ID_BITS) - 1
+BELOW = (1 << ID_BITS + PLACE_BITS) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,55 +45,57 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _places(key: int) -> tuple[int, int]:
-    first, second = ((key * m >> 20) & (SLOTS - 1) for m in MULTIPLIERS)
-    return first, second
-
-
 def _literal(values: list[int], kind: str) -> Column:
     """Folded to one literal by the optimizer."""
     return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), f"array<{kind}>")
 
 
+def _displaced(pairs: dict[int, list[tuple[int, int]]]) -> tuple[list[int], list[int]]:
+    """base and slots: of pairs[a] = [(b, rank), ...], owner and rank at slots[base[a] + b]; -1 stands in free slots.
+
+    The tokens with the most partners are placed first, each from a place that its id decides and on, where its partners first fit.
+    Three places of four stay free, so that this is soon.
+    """
+    room = 4 * sum(map(len, pairs.values())) + WINDOW
+    width = room + WINDOW + max((b for p in pairs.values() for b, _ in p), default=0) + 1
+    base, slots = np.zeros(max(pairs, default=-1) + 1, np.int64), np.full(width, -1, np.int64)
+    for a in sorted(pairs, key=lambda a: -len(pairs[a])):
+        partners = np.array([b for b, _ in pairs[a]], np.int64)
+        at = a * 2654435761 % room
+        while True:
+            fits = np.arange(at, at + WINDOW)
+            for b in partners.tolist():
+                fits = fits[slots[fits + b] < 0]
+                if not len(fits):
+                    break
+            if len(fits):
+                break
+            at = (at + WINDOW) % room
+        base[a] = fits[0]
+        slots[base[a] + partners] = [a << ID_BITS | rank for _, rank in pairs[a]]
+    return base.tolist(), slots[: int(np.flatnonzero(slots >= 0).max(initial=-1)) + 1].tolist()
+
+
 def rank_map(ranks: dict[bytes, int]) -> Column:
     """The literal that maps two neighbouring ids to the id, and so the rank, of their joined bytes.
 
-    A struct: single, the id of each byte; slots, pair << 16 | rank, each pair in one of its two places.
+    A struct: single, the id of each byte; base and slots of the pairs.
     """
-    slots = [0] * SLOTS
+    if max(ranks.values()) > IDS:
+        raise ValueError(f"the vocabulary has ids of over {ID_BITS} bits")
+    pairs: dict[int, list[tuple[int, int]]] = {}
     for token, rank in ranks.items():
         for k in range(1, len(token)):
             if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
-                key = a << 16 | b
-                entry, at = key << 16 | rank, _places(key)[0]
-                for _ in range(1000):  # what stood there moves to its other place
-                    slots[at], entry = entry, slots[at]
-                    if not entry:
-                        break
-                    first, second = _places(entry >> 16)
-                    at = second if at == first else first
-                else:
-                    raise ValueError("SLOTS is too small for this vocabulary")
-    # An empty first place then means that the pair is in neither.
-    moved = True
-    while moved:
-        moved = False
-        for at, entry in enumerate(slots):
-            if entry and not slots[first := _places(entry >> 16)[0]]:
-                slots[first], slots[at], moved = entry, 0, True
-    return F.struct(_literal([ranks[bytes([b])] for b in range(256)], "int").alias("single"), _literal(slots, "bigint").alias("slots"))
+                pairs.setdefault(a, []).append((b, rank))
+    base, slots = _displaced(pairs)
+    return F.struct(_literal([ranks[bytes([b])] for b in range(256)], "bigint").alias("single"), _literal(base, "int").alias("base"), _literal(slots, "bigint").alias("slots"))
 
 
 def _rank(table_: Column, a: Column, b: Column) -> Column:
-    """NONE if the bytes of both don't join to a token."""
-    pair = lambda e: F.shiftright(e, 16)
-    rank = lambda e: e.bitwiseAND(F.lit(65535)).cast("int")
-
-    def found(key: Column) -> Column:
-        first, second = (F.get(table_["slots"], F.shiftright(key * F.lit(m), 20).bitwiseAND(F.lit(SLOTS - 1)).cast("int")) for m in MULTIPLIERS)
-        return _let(first, lambda e: F.when(e == 0, F.lit(NONE)).when(pair(e) == key, rank(e)).otherwise(_let(second, lambda o: F.when(pair(o) == key, rank(o)).otherwise(F.lit(NONE)))))
-
-    return _let(F.shiftleft(a.cast("long"), 16).bitwiseOR(b.cast("long")), found)
+    """NONE if the bytes of both don't join to a token. A place beyond the arrays is null, which equals nothing."""
+    entry = F.get(table_["slots"], (F.get(table_["base"], a.cast("int")) + b).cast("int"))
+    return _let(entry, lambda e: F.when(F.shiftright(e, ID_BITS) == a, e.bitwiseAND(F.lit(IDS))).otherwise(F.lit(NONE)))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -98,37 +104,34 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def fold_merges(word: Column, table_: Column) -> Column:
-    """The ids of a word, given as an array of its bytes (0 to 255), by a rank map.
+    """The ids of a word, given as an array of its bytes (0 to 255), by a rank map."""
 
-    The state pairs every id with the rank that it and its successor would merge at.
-    """
+    def ranked(rank: Column, rest: Column) -> Column:
+        return F.shiftleft(rank.cast("long"), ID_BITS + PLACE_BITS).bitwiseOR(rest)
+
+    def id_of(entry: Column) -> Column:
+        return entry.bitwiseAND(F.lit(IDS))
 
     def start(ids: Column) -> Column:
-        return F.transform(ids, lambda x, i: F.struct(x.alias("id"), F.when(i + 1 < F.size(ids), _rank(table_, x, F.get(ids, i + 1))).otherwise(F.lit(NONE)).alias("rank")))
-
-    def merged(acc: Column, i: Column, low: Column) -> Column:
-        """Entry i takes the id low, and the entry after it goes."""
-        kept = F.filter(acc, lambda _, j: j != i + 1)
-        return _let(
-            kept,
-            lambda kept: F.transform(
-                kept,
-                lambda x, j: F.when(j == i, F.struct(low.alias("id"), F.when(i + 1 < F.size(kept), _rank(table_, low, F.get(kept, i + 1)["id"])).otherwise(F.lit(NONE)).alias("rank")))
-                .when(j == i - 1, F.struct(x["id"].alias("id"), _rank(table_, x["id"], low).alias("rank")))
-                .otherwise(x),
-            ),
-        )
-
-    def step(acc: Column, _: Column) -> Column:
-        return _let(
-            F.transform(acc, lambda x: x["rank"]),
-            lambda next_: _let(
-                F.array_min(next_), lambda low: F.when(low == NONE, acc).otherwise(_let((F.array_position(next_, low) - 1).cast("int"), lambda i: merged(acc, i, low)))
-            ),
-        )
+        rank = lambda x, i: F.when(i + 1 < F.size(ids), _rank(table_, x, F.get(ids, i + 1))).otherwise(F.lit(NONE))
+        return F.transform(ids, lambda x, i: ranked(rank(x, i), F.shiftleft(i.cast("long"), ID_BITS).bitwiseOR(x)))
+
+    def merged(entries: Column, low: Column, i: Column) -> Column:
+        """Entry i (from 0) is low and takes the id that is its rank, and the entry after it goes."""
+        id_, before, after = F.shiftright(low, ID_BITS + PLACE_BITS), F.get(entries, i - 1), F.get(entries, i + 2)
+        rank = F.when(after.isNull(), F.lit(NONE)).otherwise(_rank(table_, id_, id_of(after)))
+        own = ranked(rank, low.bitwiseAND(F.lit(BELOW - IDS)).bitwiseOR(id_))
+        ahead = F.when(i > 0, ranked(_rank(table_, id_of(before), id_), before.bitwiseAND(F.lit(BELOW))))
+        left = F.array_remove(entries, F.get(entries, i + 1))
+        return _let(own, lambda own: _let(ahead, lambda ahead: F.transform(left, lambda x, j: F.when(j == i, own).when(j == i - 1, ahead).otherwise(x))))
+
+    def step(entries: Column, _: Column) -> Column:
+        found = lambda low: _let((F.array_position(entries, low) - 1).cast("int"), lambda i: merged(entries, low, i))
+        return _let(F.array_min(entries), lambda low: F.when(low > F.lit(NONE << ID_BITS + PLACE_BITS), entries).otherwise(found(low)))
 
     steps = F.when(F.size(word) > 1, F.sequence(F.lit(2), F.size(word))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, _let(F.transform(word, lambda b: F.get(table_["single"], b)), start), step, lambda acc: F.transform(acc, lambda x: x["id"]))
+    begin = _let(F.transform(word, lambda b: F.get(table_["single"], b.cast("int"))), start)
+    return F.aggregate(steps, begin, step, lambda entries: F.transform(entries, lambda x: id_of(x).cast("int")))
 
 
 def _heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -224,10 +227,24 @@ def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
     return pieces
 
 
+def _piece_map(ranks: dict[bytes, int]) -> Column:
+    """The pieces of all ids, as an array of binaries."""
+    literal = F.split(F.lit(",".join(p.hex() for p in _pieces(ranks))), ",")
+    return F.transform(literal, lambda h: F.unhex(h))
+
+
+def _concatenated(ids: Column, pieces: Column) -> Column:
+    """The pieces of the ids, concatenated: PIECES at a time, and then what these give, so that long arrays aren't copied for every id."""
+    empty = F.lit(b"")
+    join = lambda part: F.aggregate(part, empty, lambda acc, i: F.concat(acc, F.get(pieces, i)))
+    starts = F.sequence(F.lit(0), F.floor(F.size(ids) / PIECES).cast("int"))
+    parts = F.transform(starts, lambda k: join(F.slice(ids, k * PIECES + 1, PIECES)))
+    return F.when(F.size(ids) <= PIECES, join(ids)).otherwise(F.aggregate(parts, empty, lambda acc, p: F.concat(acc, p)))
+
+
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     """The bytes of an array of ids."""
-    literal = F.split(F.lit(",".join(p.hex() for p in _pieces(ranks))), ",")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: literal[i]), ""))
+    return _let(_piece_map(ranks), lambda m: _concatenated(ids, m))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
