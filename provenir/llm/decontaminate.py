@@ -7,13 +7,14 @@ windows join up. MASKS cover every choice of WRONG positions: for any two of the
 such window is missed. Words are runs of letters and digits (marks of ASCII part them), lower-cased.
 
 The benchmark comes in blocks of about BLOCK_WORDS words by a hash of the item, one after the other, each against all documents;
-so what a task holds of it is bounded whatever the benchmark's size. Documents are independent rows: nothing is
-shuffled, and a common passage costs each document that has it, no more.
+so what the driver and a task hold of it is bounded whatever the benchmark's size; between two blocks the overlaps so far are written to
+the shared folder. Documents are independent rows: nothing is shuffled, and a common passage costs each document that has it, no more. Hits are
+verified PAIRS at a time and joined up for each alignment at once, so a word repeated throughout a text and an item is not slow.
 
 Defined results: a null text is empty and never contaminated; items of under SPAN words are compared whole, without
 substitutions, if they have LEAST words or more, else ignored (as are null ones); repeated documents are
 judged alike and all returned; items with the same text count once each by item_id; items without an id report as -1;
-other columns of the documents pass through drop_contaminated untouched; an empty benchmark contaminates nothing.
+other columns of the documents pass through drop_contaminated untouched, but overlaps in the result of find_overlaps stands for a column of that name; an empty benchmark contaminates nothing.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.llm._io import table
+from provenir.llm._io import Scratch, table
 from provenir.llm._words import MARKS, spaced, word_hashes
 
 SPAN = 13
@@ -33,6 +34,7 @@ WRONG = 2
 LEAST = 6
 BLOCK_WORDS = 2_000_000
 FILTER_BITS = 22
+PAIRS = 500_000
 
 
 def _cover(span: int, ignored: int) -> list[list[int]]:
@@ -80,29 +82,50 @@ class Seeds:
     def find(self, words: np.ndarray, begins: np.ndarray) -> list[list[tuple[int, int, int]]]:
         """For each of several texts (their words, and where each begins): (item_id, first word, end word) of its overlaps,
         joined up for each item and alignment."""
-        windows = set()
         ends = begins[1:]
+        kept = []  # of windows that hold: text, item, alignment, first word in the text, end word
         for mask, span, salt, hashes, places, bits in self.tables:
             h = spaced(words, mask, salt)[: max(0, len(words) - span + 1)]
             at = np.flatnonzero(bits[h >> np.uint64(64 - FILTER_BITS)])
             at = at[at + span <= ends[np.searchsorted(ends, at, side="right")]]  # within one text
             low, high = (np.searchsorted(hashes, h[at], side=s) for s in ("left", "right"))
-            for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
-                for q in places[a:b].tolist():
-                    windows.add((p, q, span))
-        found: list[dict[tuple[int, int], list[tuple[int, int]]]] = [{} for _ in ends]
-        for p, q, span in sorted(windows):
-            same = words[p : p + span] == self.words[q : q + span]
-            if int(same.sum()) >= span - (WRONG if span == SPAN else 0):
-                text = int(np.searchsorted(ends, p, side="right"))
-                item = int(np.searchsorted(self.begins, q, side="right")) - 1
-                p -= int(begins[text])
-                runs = found[text].setdefault((item, p - q), [])
-                if runs and p <= runs[-1][1]:
-                    runs[-1] = (runs[-1][0], p + span)
-                else:
-                    runs.append((p, p + span))
-        return [sorted((int(self.ids[item]), a, b) for (item, _), runs in f.items() for a, b in runs) for f in found]
+            hits = high - low
+            for part in _bounded(hits):
+                p = np.repeat(at[part], hits[part])
+                first = np.repeat(low[part] - np.concatenate([[0], np.cumsum(hits[part])[:-1]]), hits[part])
+                q = places[first + np.arange(len(p))]
+                same = sum((words[p + k] == self.words[q + k]).astype(np.int16) for k in range(span)) if len(p) else np.zeros(0)
+                good = same >= span - (WRONG if span == SPAN else 0)
+                p, q = p[good], q[good]
+                text, item = np.searchsorted(ends, p, side="right"), np.searchsorted(self.begins, q, side="right") - 1
+                kept.append(_runs(np.stack([text, item, p - q, p - begins[text], p - begins[text] + span])))
+        found: list[list[tuple[int, int, int]]] = [[] for _ in ends]
+        if kept:
+            for text, item, _, begin, end in _runs(np.concatenate(kept, axis=1)).T.tolist():
+                found[text].append((int(self.ids[item]), begin, end))
+        return [sorted(f) for f in found]
+
+
+def _bounded(hits: np.ndarray) -> Iterator[slice]:
+    """Slices of places with about PAIRS hits each."""
+    group = np.cumsum(hits) // PAIRS
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(hits)]
+    return (slice(a, b) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
+def _runs(windows: np.ndarray) -> np.ndarray:
+    """Windows of one text, item and alignment that touch or overlap, joined up: as many rows, fewer columns."""
+    if not windows.shape[1]:
+        return windows
+    windows = windows[:, np.lexsort(windows[3::-1])]
+    fresh = np.ones(windows.shape[1], bool)
+    fresh[1:] = (windows[:3, 1:] != windows[:3, :-1]).any(axis=0) | (windows[3, 1:] > windows[4, :-1])
+    if (windows[4, 1:] < windows[4, :-1])[~fresh[1:]].any():  # a short window inside a longer one: the furthest end so far counts
+        group = np.cumsum(fresh)
+        far = np.maximum.accumulate(windows[4] + group * (windows[4].max() + 1)) - group * (windows[4].max() + 1)
+        fresh[1:] = (windows[:3, 1:] != windows[:3, :-1]).any(axis=0) | (windows[3, 1:] > far[:-1])
+    starts = np.flatnonzero(fresh)
+    return np.concatenate([windows[:4, starts], np.maximum.reduceat(windows[4], starts)[None, :]])
 
 
 def _at(words: np.ndarray, mask: list[int], salt: int, places: np.ndarray) -> np.ndarray:
@@ -136,13 +159,18 @@ def _overlaps(seeds: Seeds):
 
 def find_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents(text, ...) with the column overlaps: item_id, begin and end in words of the document."""
-    out = documents.withColumn("overlaps", F.array().cast(_FIELDS))
+    own = [F.col(f"`{c}`") for c in documents.columns if c != "overlaps"]
+    out = documents.select(*own, F.array().cast(_FIELDS).alias("overlaps"))
     bench = benchmark.selectExpr("cast(coalesce(item_id, -1) as long) item_id", "text").where("text is not null")
-    for block in _blocks(bench):
+    blocks = _blocks(bench)
+    scratch = Scratch(documents.sparkSession) if len(blocks) > 1 else None
+    for block in blocks:
         seeds = Seeds([(r["item_id"], r["text"]) for r in bench.where(block).collect()])
-
         if len(seeds.ids):
             out = out.withColumn("overlaps", F.concat("overlaps", _overlaps(seeds)("text")))
+            if scratch:  # one block's seeds are let go before the next one's are made
+                out = scratch.write(out, "overlaps")
+                scratch.drop_but_last("overlaps")
     return out
 
 
