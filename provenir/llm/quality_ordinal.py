@@ -165,7 +165,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordi
 
 
 def score(documents: DataFrame, model: OrdinalModel | None, keep: float = KEEP) -> DataFrame:
-    """Adds expected_grade, tail_good and kept to documents (their other columns stay)."""
+    """Adds expected_grade, tail_good and kept to documents. Their other columns stay, and columns of these three names give way."""
 
     @F.pandas_udf("struct<expected_grade: double, tail_good: double>")
     def graded(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -177,8 +177,9 @@ def score(documents: DataFrame, model: OrdinalModel | None, keep: float = KEEP)
                 out.append((0.0, 0.0) if not len(p) else (2.0, 1.0) if model is None else (float((v := model.tails(p)).sum()), float(v[1])))
             yield pd.DataFrame(out, columns=["expected_grade", "tail_good"])
 
-    grade = graded(F.col("text"))
-    return documents.withColumn("_graded", grade).select("*", F.col("_graded.expected_grade"), F.col("_graded.tail_good"), (F.col("_graded.tail_good") >= keep).alias("kept")).drop("_graded")
+    own = F.struct(*(F.col(f"`{c}`") for c in documents.columns if c not in ("expected_grade", "tail_good", "kept")))
+    packed = documents.select(own.alias("own"), graded(F.col("text")).alias("graded"))
+    return packed.select("own.*", "graded.expected_grade", "graded.tail_good", (F.col("graded.tail_good") >= keep).alias("kept"))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -30,3 +30,11 @@ def test_odd_rows(spark, make):
     kept = [(r["doc_id"], r["text"]) for r in keep_good(make(ODD), none).collect()]
     assert sorted(map(repr, kept)) == sorted(repr(x) for x in ODD if (x[1] or "").strip())
     assert keep_good(make([]), none).count() == 0
+
+
+def test_own_columns_of_the_same_names(spark):
+    documents = spark.createDataFrame([(1, "some words", "mine", 7, "x"), (2, None, None, None, "y"), (3, "some words", "mine", 7, "x")], "doc_id long, text string, kept string, tail_good int, `a.b` string")
+    out = score(documents, None)
+    assert out.columns == ["doc_id", "text", "a.b", "expected_grade", "tail_good", "kept"]
+    assert sorted((r["doc_id"], r["a.b"], r["kept"]) for r in out.collect()) == [(1, "x", True), (2, "y", False), (3, "x", True)]
+    assert score(documents.limit(0), None).count() == 0
