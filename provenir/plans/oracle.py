@@ -201,7 +201,7 @@ def _documents() -> dict[str, str]:
     data = lambda k, c: f"'      <data key=\"{k}\">' || {xml(c)} || '</data>' || chr(10)"
     edges = """, firstseq as (select f, type_code tc, t, min(seq) first_seq, string_agg(distinct source_id, '|') x from sources group by 1, 2, 3),
 names_ as (select f, type_code tc, t, string_agg(source_id, '|' order by seq) ids from (select f, type_code, t, source_id, min(seq) seq from sources group by 1, 2, 3, 4) y group by 1, 2, 3),
-drawn as (select e.*, p.first_seq, i.ids, row_number() over (order by p.first_seq) - 1 number from edges e join firstseq p on e.from_qid = p.f and e.type_code = p.tc and e.to_qid = p.t join names_ i on e.from_qid = i.f and e.type_code = i.tc and e.to_qid = i.t),
+drawn as (select e.*, p.first_seq, i.ids, row_number() over (order by p.first_seq, e.from_qid, e.type_code, e.to_qid) - 1 number from edges e join firstseq p on e.from_qid = p.f and e.type_code = p.tc and e.to_qid = p.t join names_ i on e.from_qid = i.f and e.type_code = i.tc and e.to_qid = i.t),
 """
     rows = lambda part, lines: f"select {part} part, lpad((k - 1)::varchar, 20, '0') ord, x line from (select unnest([{', '.join(chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for x in lines)}]) x, generate_subscripts([{', '.join('0' for _ in lines)}], 1) k) z"
     space = "http://graphml.graphdrawing.org/xmlns"
