@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenir.operators.fold import corroboration
+from provenir.operators.graph import half_edges
 from provenir.schema import NODE_KINDS
 
 
@@ -13,6 +14,14 @@ def _rounded_percent(part: str, whole: str) -> str:
     return f"case when {whole} = 0 then 0 else (200 * {part} + {whole}) div (2 * {whole}) end"
 
 
+def _side_by_side(*rows: DataFrame) -> DataFrame:
+    """Tables of one row as one row."""
+    out = rows[0].withColumn("_j", F.lit(1))
+    for one in rows[1:]:
+        out = out.join(one.withColumn("_j", F.lit(1)), "_j")
+    return out.drop("_j")
+
+
 def nodes_by_kind(nodes: DataFrame) -> DataFrame:
     """Every kind, with zero where there is none."""
     kinds = nodes.sparkSession.createDataFrame([(k,) for k in NODE_KINDS], "kind string")
@@ -58,6 +67,20 @@ def concept_classes(nodes: DataFrame, top: int = 10) -> DataFrame:
     return each.groupBy("class").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), F.col("class")).limit(top)
 
 
+def concept_totals(nodes: DataFrame) -> DataFrame:
+    """One row: concepts, those without a class, and the classes that concepts have."""
+    concepts = nodes.where("kind = 'CONCEPT'")
+    counts = concepts.agg(F.count("*").alias("concepts"), F.count_if(F.size("instance_of") == 0).alias("no_class"))
+    classes = concepts.select(F.explode("instance_of").alias("_c")).agg(F.count_distinct("_c").alias("classes"))
+    return _side_by_side(counts, classes)
+
+
+def edge_totals(edges: DataFrame, edge_claims: DataFrame, dangling: DataFrame) -> DataFrame:
+    """One row: edges, merged edges that lack an end's node, and merged edges withdrawn with an emptied end."""
+    withdrawn = edge_claims.where("fate = 'withdrawn'").groupBy("f", "type_code", "t").agg(F.lit(1)).agg(F.count("*").alias("withdrawn"))
+    return _side_by_side(edges.agg(F.count("*").alias("total")), dangling.agg(F.count("*").alias("dangling")), withdrawn)
+
+
 def taste(ratings: DataFrame, stand_ins: DataFrame, retracted: DataFrame) -> DataFrame:
     """Ratings 1 to 5 with zeros: how many, and how many on a local id, a stand-in, a retracted id."""
     scale = ratings.sparkSession.range(1, 6).selectExpr("cast(id as int) rating")
@@ -71,15 +94,18 @@ def taste(ratings: DataFrame, stand_ins: DataFrame, retracted: DataFrame) -> Dat
 
 def claims(log: DataFrame, fold) -> DataFrame:
     """One row of counts about the log's claims, retractions and merges."""
-    rows = log.agg(F.count("*").alias("claims"), F.count_if(F.col("kind") == "RETRACT").alias("retractions"), F.count_if(F.col("kind") == "LOCAL").alias("minted"))
-    kept = fold.surviving.agg(F.count("*").alias("surviving"))
+    gone = F.col("kind") == "RETRACT"
+    rows = log.agg(F.count("*").alias("claims"), F.count_if(gone).alias("retractions"), F.count_distinct(F.when(gone, F.col("qid"))).alias("entities_retracted"))
+    kept = fold.surviving.agg(F.count("*").alias("surviving"), F.count_if(F.col("kind") == "LOCAL").alias("minted"))
+    named = fold.edge_claims.where("fate = 'kept'").select(F.explode(F.array("qid", "to_qid")).alias("_r")).distinct()
+    referenced = fold.same_as.where("not last").join(named, F.col("canonical") == F.col("_r"), "left_semi").agg(F.count("*").alias("superseded_referenced"))
+    ends = fold.edges.select(F.explode(F.array("from_qid", "to_qid")).alias("_e")).distinct()
+    edgeless = fold.stand_ins.join(ends, F.col("qid") == F.col("_e"), "left_anti").agg(F.count("*").alias("stand_ins_edgeless"))
     merges = fold.same_as.agg(F.count_if("last").alias("merges_standing"), F.count_if(~F.col("last")).alias("merges_superseded"))
     stand = fold.stand_ins.agg(F.count("*").alias("stand_ins"))
     fate = fold.edge_claims.agg(F.count_if(F.col("fate") == "withdrawn").alias("withdrawn"), F.count_if(F.col("fate") == "loop").alias("loops"))
-    out = rows.withColumn("_j", F.lit(1))
-    for one in (kept, merges, stand, fate):
-        out = out.join(one.withColumn("_j", F.lit(1)), "_j")
-    return out.drop("_j").withColumn("rows_retracted", F.col("claims") - F.col("surviving") - F.col("retractions")).drop("surviving")
+    out = _side_by_side(rows, kept, merges, referenced, stand, edgeless, fate)
+    return out.withColumn("rows_retracted", F.col("claims") - F.col("surviving") - F.col("retractions")).drop("surviving")
 
 
 def known(nodes: DataFrame, known_ids: DataFrame, expanded: DataFrame, lonely: DataFrame) -> DataFrame:
@@ -88,10 +114,27 @@ def known(nodes: DataFrame, known_ids: DataFrame, expanded: DataFrame, lonely: D
     placed = known_ids.select("qid").distinct().join(a, F.col("qid") == F.col("_a"), "left").join(b, F.col("qid") == F.col("_b"), "left").join(c, F.col("qid") == F.col("_c"), "left")
     local, here = F.col("qid").rlike("^Q00[0-9]+$"), F.col("_a").isNotNull()
     return placed.agg(
-        F.count("*").alias("named"), F.count("_a").alias("in_graph"), F.count_if(here & local).alias("local"), F.count_if(~local & F.col("_b").isNull()).alias("never_expanded"), F.count("_c").alias("isolated")
+        F.count("*").alias("named"), F.count("_a").alias("in_graph"), F.count_if(here & local).alias("local"), F.count_if(here & ~local & F.col("_b").isNull()).alias("never_expanded"), F.count("_c").alias("isolated")
     )
 
 
+def known_by_kind(nodes: DataFrame, members: DataFrame, seeds: DataFrame) -> DataFrame:
+    """kind, in_graph, never_expanded of members(qid), every kind with zeros."""
+    kinds = nodes.sparkSession.createDataFrame([(k,) for k in NODE_KINDS], "kind string")
+    placed = members.select("qid").distinct().join(nodes.selectExpr("qid", "kind _k"), "qid").join(seeds.selectExpr("qid _s").distinct(), F.col("qid") == F.col("_s"), "left")
+    fresh = ~F.col("qid").rlike("^Q00[0-9]+$") & F.col("_s").isNull()
+    counts = placed.groupBy("_k").agg(F.count("*").alias("in_graph"), F.count_if(fresh).alias("never_expanded"))
+    return kinds.join(counts, F.col("kind") == F.col("_k"), "left").drop("_k").fillna(0)
+
+
+def known_isolation(nodes: DataFrame, edges: DataFrame, lonely: DataFrame, seeds: DataFrame) -> DataFrame:
+    """One row: isolated members with somebody beside them to expand, those with nobody, and whom there is to expand in all."""
+    wanted = nodes.where("kind in ('PERSON', 'GROUP') and not qid rlike '^Q00[0-9]+$'").select("qid").join(seeds, "qid", "left_anti")
+    beside = half_edges(edges).join(lonely, F.col("src") == F.col("qid"), "left_semi").join(wanted, F.col("dst") == F.col("qid"), "left_semi").select("src", "dst").distinct()
+    counts = beside.agg(F.count_distinct("src").alias("with_someone"), F.count_distinct("dst").alias("to_expand"))
+    return _side_by_side(counts, lonely.agg(F.count("*").alias("_n"))).select("with_someone", (F.col("_n") - F.col("with_someone")).alias("with_no_one"), "to_expand")
+
+
 def expanded_seeds(log: DataFrame) -> DataFrame:
     """qid of entities whose statements were fetched, read from source references: a reverse reference ends in
     the seed, a statement reference begins with it."""

@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provenir.functions.kinds import rederive
 from provenir.schema import HYPOTHESIS_PREFIX, OWNER
 from provenir.sources.shared import materialize
 
@@ -69,8 +70,9 @@ class Fold:
 
     @cached_property
     def claimed(self) -> DataFrame:
-        """Surviving node claims (NODE and LOCAL)."""
-        return self.surviving.where("kind in ('NODE', 'LOCAL')")
+        """Surviving node claims (NODE and LOCAL); the kind of one that states classes follows from them."""
+        kind = F.when(F.col("kind") == "NODE", rederive(F.col("node_kind"), F.col("instance_of"))).otherwise(F.col("node_kind"))
+        return self.surviving.where("kind in ('NODE', 'LOCAL')").withColumn("node_kind", kind)
 
     @cached_property
     def _about_superseded(self) -> DataFrame:

@@ -170,8 +170,8 @@ def _grid_free() -> dict[str, str]:
         "census_bridge": "select count(*) touched, count(*) filter (where classes <> '') classed from nodes where qid in (select f from sources where source_id = 'musicbrainz' and (f, type_code, t) in (select (from_qid, type_code, to_qid) from edges) union select t from sources where source_id = 'musicbrainz' and (f, type_code, t) in (select (from_qid, type_code, to_qid) from edges))",
         "census_concept_classes": "select c as class, count(*) n from (select distinct qid, unnest(string_split(classes, ' ')) c from nodes where kind = 'CONCEPT' and classes <> '') x group by 1 order by n desc, class limit 10",
         "census_taste": "select g.r::int rating, count(t.qid) n, count(t.qid) filter (where t.qid like 'Q00%') on_local, count(t.qid) filter (where t.qid in (select qid from stand2)) on_stand_in, count(t.qid) filter (where t.qid in (select qid from cuts)) on_retracted from range(1, 6) g(r) left join ratings t on t.rating = g.r group by 1",
-        "census_claims": "select (select count(*) from log) claims, (select count(*) from log where kind = 'RETRACT') retractions, (select count(*) from log where kind = 'LOCAL') minted, (select count(*) from sa where is_last) merges_standing, (select count(*) from sa where not is_last) merges_superseded, (select count(*) from stand2) stand_ins, (select count(*) from fated2 where fate = 'withdrawn') withdrawn, (select count(*) from fated2 where fate = 'loop') loops, (select count(*) from log where kind <> 'RETRACT') - (select count(*) from surv) rows_retracted",
-        "census_known": "select count(*) named, count(*) filter (where qid in (select qid from nodes)) in_graph, count(*) filter (where qid like 'Q00%' and qid in (select qid from nodes)) as \"local\", count(*) filter (where qid not like 'Q00%' and qid not in (select qid from expanded)) never_expanded, count(*) filter (where qid in (select qid from lonely)) isolated from (select distinct qid from known) k",
+        "census_claims": "select (select count(*) from log) claims, (select count(*) from log where kind = 'RETRACT') retractions, (select count(*) from surv where kind = 'LOCAL') minted, (select count(*) from cuts) entities_retracted, (select count(*) from sa where not is_last and canonical in (select r from named2)) superseded_referenced, (select count(*) from stand2 where qid not in (select src from half) and qid not in (select from_qid from edges)) stand_ins_edgeless, (select count(*) from sa where is_last) merges_standing, (select count(*) from sa where not is_last) merges_superseded, (select count(*) from stand2) stand_ins, (select count(*) from fated2 where fate = 'withdrawn') withdrawn, (select count(*) from fated2 where fate = 'loop') loops, (select count(*) from log where kind <> 'RETRACT') - (select count(*) from surv) rows_retracted",
+        "census_known": "select count(*) named, count(*) filter (where qid in (select qid from nodes)) in_graph, count(*) filter (where qid like 'Q00%' and qid in (select qid from nodes)) as \"local\", count(*) filter (where qid in (select qid from nodes) and qid not like 'Q00%' and qid not in (select qid from expanded)) never_expanded, count(*) filter (where qid in (select qid from lonely)) isolated from (select distinct qid from known) k",
         "ratings_resolved": "select qid, rating from resolved",
         "known_promoted": "select qid, part from known",
         "suppressed": "select qid from suppressed",
@@ -225,6 +225,39 @@ union all {rows(3, ['}'])}"""
     return {"export_graphml_lines": graphml, "export_dot_lines": dotted}
 
 
+_POPULATIONS = """,
+listed as (select coalesce(m.canonical, f.qid) qid, min(ord) ord from file f left join merges m on m."local" = f.qid group by 1),
+seeds as materialized (select distinct coalesce(m.canonical, e.qid) qid from expanded e left join merges m on m."local" = e.qid),
+off as (select qid from resolved where rating >= 4 and qid not in (select qid from listed)),
+act as (select qid from (select qid, arg_max(node_kind, seq) k from surv where kind = 'NODE' group by 1) x where k = 'GROUP' union select qid from surv where kind = 'EDGE' and type_code = 'PERFORMED'),
+answered as (select *, case source_id when 'wikidata' then 0 when 'musicbrainz' then 1 else 2 end adapter from (select seq, qid, to_qid, type_code, source_id, unnest([qid, to_qid]) seed from surv where kind = 'EDGE') x),
+bounds as (select qid, case kind when 'CONCEPT' then 25 else 40 end::bigint bound from nodes)
+"""
+
+
+def _populations() -> dict[str, str]:
+    """Populations, their censuses and expansions."""
+    fresh = "n.qid not like 'Q00%' and n.qid not in (select qid from seeds)"
+    kinds = ", ".join(f"('{k}')" for k in NODE_KINDS)
+    beside = "(select distinct h.src, h.dst from half h join nodes n on n.qid = h.dst where h.src in (select qid from lonely) and n.kind in ('PERSON', 'GROUP') and " + fresh + ")"
+    by_kind = lambda name, members: f"select k.kind, count(n.qid) in_graph, count(n.qid) filter (where {fresh}) never_expanded, '{name}' population from (values {kinds}) k(kind) left join (select * from nodes where qid in ({members})) n on n.kind = k.kind group by 1"
+    return {
+        "census_concept_totals": "select count(*) concepts, count(*) filter (where classes = '') no_class, (select count(distinct c) from (select unnest(string_split(classes, ' ')) c from nodes where kind = 'CONCEPT' and classes <> '') x) classes from nodes where kind = 'CONCEPT'",
+        "census_edge_totals": "select (select count(*) from edges) total, (select count(*) from alledges) - (select count(*) from edges) dangling, (select count(*) from (select distinct f, type_code, t from fated2 where fate = 'withdrawn') x) withdrawn",
+        "census_known_by_kind": by_kind("file", "select qid from listed") + " union all " + by_kind("with promotions", "select qid from listed union select qid from off"),
+        "census_known_isolation": f"select count(distinct src) with_someone, (select count(*) from lonely) - count(distinct src) with_no_one, count(distinct dst) to_expand from {beside} b",
+        "acts": "select qid from act",
+        "promotions_off_list": "select qid from off",
+        "names_out": "select coalesce(c.lb, o.qid) as name, o.qid, c.lb is not null in_log from off o left join (select qid, arg_max(label, seq) lb from claimed group by 1) c on c.qid = o.qid where o.qid in (select qid from act)",
+        "rated_since": "select qid from resolved where rating > 3 and updated_at >= timestamp '2026-06-01'",
+        "rating_age": "select qid, not (updated_at < timestamp '2026-06-01') is_new from resolved",
+        "to_expand_known": f"select n.qid from nodes n where n.qid in (select qid from listed) and {fresh}",
+        "to_expand_promoted": f"select n.qid from nodes n where n.qid in (select qid from off) and {fresh}",
+        "expansion_summary": "select seed, bound, count(*) offered, least(count(*), bound) kept, count(*) > bound cut from answered a join bounds b on b.qid = a.seed group by seed, bound",
+        "expansion_tally": "select source_id, count(*) kept, count(distinct seed) entities from (select a.*, b.bound from answered a join bounds b on b.qid = a.seed qualify row_number() over (partition by seed order by adapter, seq, a.qid, to_qid, type_code) <= bound) x group by 1",
+    }
+
+
 def queries() -> dict[str, str]:
     out = {name: BASE + ("" if body.startswith(",") else " ") + body for name, body in _grid_free().items()}
     key = lambda c: f"regexp_replace(regexp_replace(lower(trim({c})), '^the\\s+', ''), '[^a-z0-9]', '', 'g')"
@@ -254,6 +287,13 @@ select 'Q2' || lpad(s_suppkey::varchar, 8, '0') from_qid, 'MEMBER_OF' type_code,
        case when s_suppkey % 2 = 0 then 0.8 else 1.0 end::double confidence, 's' || s_suppkey source_ref from supplier where s_suppkey % 9 <> 0
 union all select 'Q1', 'PERFORMED', 'Q2' || lpad(s_suppkey::varchar, 8, '0'), null, null, 0.8, 'Q2' || lpad(s_suppkey::varchar, 8, '0') || '$P175$Q1' from supplier"""
     out |= {name: BASE + sql for name, sql in _documents().items()}
+    out |= {name: BASE + _POPULATIONS + sql for name, sql in _populations().items()}
+    out["kinds_derived"] = "select p_partkey, case when p_partkey % 13 = 0 then 'PLACE' when p_partkey % 8 = 0 then 'PERSON' when p_partkey % 3 = 0 then 'WORK' when p_partkey % 5 = 0 then 'GROUP' when p_partkey % 7 = 0 then 'EVENT' when p_partkey % 11 = 0 then 'PLACE' else 'CONCEPT' end kind from part"
+    out["entity_facts"] = """
+select 'Q2' || lpad(s_suppkey::varchar, 8, '0') qid, s_name as label, 'no. ' || s_suppkey description, 'both|m' || s_suppkey aliases, case when s_suppkey % 2 = 0 then 'GROUP' else 'PERSON' end kind,
+       case when s_suppkey % 2 = 0 then 'Q215380' else 'Q5' end instance_of, 'Q639669' occupations, case when s_suppkey % 3 = 0 then 2 else 1 end::bigint sitelinks from supplier where s_suppkey % 10 <> 9 and s_suppkey % 4 <> 0"""
+    out["entity_search"] = """
+select p_brand query, pos, 'Q' || p_partkey qid, p_name as label, p_type description, 'CONCEPT' kind from (select *, row_number() over (partition by p_brand order by p_partkey) - 1 pos from part) x where pos < 50 and p_partkey % 4 <> 0"""
     out["next_local"] = BASE + " select max(substr(id, 4)::bigint) + 1 as number from (select qid id from log union all select to_qid from log) x where id like 'Q00%'"
     out["events_windowed"] = "select time_bucket(interval '1 hour', ts) begins, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2"
     return out

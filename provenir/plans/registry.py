@@ -9,10 +9,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provenir.functions.kinds import rederive
 from provenir.functions.names import name_fold
-from provenir.operators import census, evaluate, export, fold, graph, paths, recommend, resolve, taste, writes
+from provenir.operators import census, evaluate, expand, export, fold, graph, paths, population, recommend, resolve, taste, writes
 from provenir.plans import oracle
-from provenir.sources import derived_log, statements
+from provenir.sources import derived_log, entities, statements
 from provenir.sources.shared import materialize
 
 CUSTOMER, SUPPLIER, PART = "Q100000001", "Q200000001", "Q300000001"
@@ -67,6 +68,60 @@ class World:
         return graph.isolated(self.nodes, self.edges, self.file.select("qid"))
 
 
+def _file_population(w: World) -> DataFrame:
+    return population.canonical_list(w.file, w.fold.merges)
+
+
+def _seeds(w: World) -> DataFrame:
+    return population.canonical_seeds(w.expanded, w.fold.merges)
+
+
+def _known_by_kind(w: World) -> DataFrame:
+    """The known list as its file has it, and with promotions."""
+    each = {"file": _file_population(w), "with promotions": taste.known_list(_file_population(w), w.resolved)}
+    parts = [census.known_by_kind(w.nodes, members, _seeds(w)).withColumn("population", F.lit(name)) for name, members in each.items()]
+    return parts[0].unionByName(parts[1])
+
+
+def _kinds(w: World) -> DataFrame:
+    """Parts with classes of several kinds, in an order that says nothing."""
+    part = w.spark.read.parquet(f"{w.sf_dir}/part.parquet")
+    classes = "filter(array(case when p_partkey % 11 = 0 then 'Q515' end, 'Q999', case when p_partkey % 7 = 0 then 'Q132241' end, case when p_partkey % 5 = 0 then 'Q215380' end, case when p_partkey % 3 = 0 then 'Q482994' end, case when p_partkey % 8 = 0 then 'Q5' end), c -> c is not null)"
+    rows = part.selectExpr("p_partkey", f"case when p_partkey % 13 = 0 then cast(array() as array<string>) else {classes} end classes")
+    return rows.select("p_partkey", rederive(F.lit("PLACE"), F.col("classes")).alias("kind"))
+
+
+def _entity_facts(w: World) -> DataFrame:
+    """Suppliers as entities in JSON: labels of either language or none, aliases twice over, missing ones, occupations, sitelinks."""
+    supplier = w.spark.read.parquet(f"{w.sf_dir}/supplier.parquet")
+    made = supplier.selectExpr(
+        "concat('Q2', lpad(cast(s_suppkey as string), 8, '0')) qid",
+        """concat('{', case when s_suppkey % 10 = 9 then '"missing":"",' else '' end, '"labels":{', case s_suppkey % 4 when 0 then '' when 1 then concat('"mul":{"value":"', s_name, '"}') else concat('"mul":{"value":"other"},"en":{"value":"', s_name, '"}') end,
+        '},"descriptions":{"en":{"value":"no. ', s_suppkey, '"}},"aliases":{"mul":[{"value":"both"},{"value":"m', s_suppkey, '"}],"en":[{"value":"both"},{"value":" "},{"value":"both"}]},"sitelinks":{"enwiki":{"title":"x"}', case when s_suppkey % 3 = 0 then ',"dewiki":{}' else '' end,
+        '},"claims":{"P31":[{"mainsnak":{"datavalue":{"value":{"id":"', case when s_suppkey % 2 = 0 then 'Q215380' else 'Q5' end, '"}}}},{"mainsnak":{"snaktype":"novalue"}}],"P106":[{"mainsnak":{"datavalue":{"value":{"id":"Q639669"}}}}],"P213":[{"mainsnak":{"datavalue":{"value":"0000"}}}]}}') json""",
+    )
+    return entities.entity_facts(made).withColumns({c: F.array_join(c, "|") for c in ("aliases", "instance_of", "occupations")}).withColumn("sitelinks", F.col("sitelinks").cast("long"))
+
+
+def _entity_search(w: World) -> DataFrame:
+    """Parts by brand as answers of a search: hits without a label go, and at most 50 are read."""
+    part = w.spark.read.parquet(f"{w.sf_dir}/part.parquet")
+    hit = "concat('{\"id\":\"Q', p_partkey, '\",', case when p_partkey % 4 = 0 then '' else concat('\"label\":\"', p_name, '\",') end, '\"description\":\"', p_type, '\"}')"
+    answers = part.groupBy(F.col("p_brand").alias("query")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", F.expr(hit).alias("h")))).alias("hits"))
+    answers = answers.select("query", F.concat(F.lit('{"search":['), F.array_join(F.col("hits.h"), ","), F.lit("]}")).alias("json"))
+    return entities.search_hits(answers, 70).select("query", F.col("pos").cast("long").alias("pos"), "qid", "label", "description", "kind")
+
+
+def _answers(w: World) -> DataFrame:
+    """Both ends of the claimed edges as entities asked about, their claims as what the sources answer."""
+    adapter = F.when(F.col("source_id") == "wikidata", 0).when(F.col("source_id") == "musicbrainz", 1).otherwise(2)
+    claims = w.fold.surviving.where("kind = 'EDGE'").select("seq", "qid", "to_qid", "type_code", "source_id", adapter.alias("adapter"))
+    return claims.withColumn("seed", F.explode(F.array("qid", "to_qid")))
+
+
+REQUESTED = 40
+
+
 def _edge_rows(edges: DataFrame) -> DataFrame:
     return edges.select("from_qid", "type_code", "to_qid", F.size("sources").cast("long").alias("n_sources"), fold.corroboration(F.col("sources")).cast("long").alias("corroboration"), fold.best_confidence(F.col("sources")).alias("best"), "valid_from", "valid_to")
 
@@ -179,6 +234,22 @@ WORLD: dict[str, Callable[[World], DataFrame]] = {
     "census_taste": lambda w: census.taste(derived_log.ratings(w.spark, w.sf_dir), w.fold.stand_ins, w.log.where("kind = 'RETRACT'").select("qid")),
     "census_claims": lambda w: census.claims(w.log, w.fold),
     "census_known": lambda w: census.known(w.nodes, w.known, w.expanded, w.lonely),
+    "census_concept_totals": lambda w: census.concept_totals(w.nodes),
+    "census_edge_totals": lambda w: census.edge_totals(w.edges, w.fold.edge_claims, fold.endpoints_missing(fold.merge_claims(w.fold.edge_claims.where("fate = 'kept'")), w.nodes)),
+    "census_known_by_kind": _known_by_kind,
+    "census_known_isolation": lambda w: census.known_isolation(w.nodes, w.edges, w.lonely, _seeds(w)),
+    "kinds_derived": _kinds,
+    "entity_facts": _entity_facts,
+    "entity_search": _entity_search,
+    "acts": lambda w: population.acts(w.fold.surviving),
+    "promotions_off_list": lambda w: population.promotions_off_list(_file_population(w), w.resolved),
+    "names_out": lambda w: population.names_out(population.promotions_off_list(_file_population(w), w.resolved).join(population.acts(w.fold.surviving), "qid", "left_semi"), w.fold.claimed),
+    "rated_since": lambda w: population.rated_since(w.resolved, F.to_timestamp(F.lit("2026-06-01"))),
+    "rating_age": lambda w: population.rating_age(w.resolved, F.to_timestamp(F.lit("2026-06-01"))),
+    "to_expand_known": lambda w: population.never_expanded(_file_population(w), w.nodes, _seeds(w)),
+    "to_expand_promoted": lambda w: population.never_expanded(population.promotions_off_list(_file_population(w), w.resolved), w.nodes, _seeds(w)),
+    "expansion_summary": lambda w: expand.summary(_answers(w), w.nodes, REQUESTED),
+    "expansion_tally": lambda w: expand.tally(expand.bounded(_answers(w), w.nodes, REQUESTED)),
     "ratings_resolved": lambda w: w.resolved.select("qid", "rating"),
     "known_promoted": lambda w: w.known.select("qid", "part"),
     "suppressed": lambda w: taste.suppressed(w.resolved),
