@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenir.operators import recommend, taste
+from provenir.operators import population, recommend, taste
 from provenir.sources.shared import materialize
 
 FOLDS = 5
@@ -26,32 +26,36 @@ def folds(resolved: DataFrame, eligible: DataFrame) -> DataFrame:
     return inner.join(starts, F.col("part") == F.col("p")).select("qid", "rating", ((F.col("start") + F.col("k")) % FOLDS).cast("int").alias("fold"))
 
 
-def grid(nodes: DataFrame, edges: DataFrame, degrees: DataFrame, hub_ids: DataFrame, file: DataFrame, resolved: DataFrame, merges: DataFrame, limit: int = recommend.LIMIT) -> DataFrame:
+def grid(nodes: DataFrame, edges: DataFrame, degrees: DataFrame, hub_ids: DataFrame, file: DataFrame, resolved: DataFrame, merges: DataFrame, limit: int = recommend.LIMIT, since: Column | None = None) -> DataFrame:
     """scorer, floor -> pool, held_in_pool, hits, hit_rank_sum, negatives_offered, negative_rank_sum, summed over the folds.
 
-    A fold's evidence is swept once for all settings.
+    With since, also what of held_in_pool and hits was rated before it (old_*) and at it or later (new_*). A fold's evidence is
+    swept once for all settings.
     """
     eligible = nodes.where("kind in ('PERSON', 'GROUP')").join(file, "qid", "left_anti")
-    held = materialize(folds(resolved, eligible))
+    held = folds(resolved, eligible)
+    age = population.rating_age(resolved, since) if since is not None else resolved.select("qid", F.lit(None).cast("boolean").alias("is_new"))
+    held = materialize(held.join(age, "qid"))
     everyone = None
     for fold in range(FOLDS):
-        out = held.where(F.col("fold") == fold).select("qid")
+        out = held.where(F.col("fold") == fold).select("qid", "is_new")
         left = resolved.join(out, "qid", "left_anti")
         negatives = left.where(F.col("rating") <= taste.SUPPRESSED).select(F.col("qid").alias("neg"))
         evidence = recommend.sweep(nodes, edges, degrees, hub_ids, taste.known_list(file, left), merges.select("local"), taste.regard_for_ratings(left))
         share = F.col("w1") * F.col("w2")
         sums = evidence.groupBy("candidate", "degree").agg(*((F.sum(share / f(F.col("via_degree")))).alias(n) for n, f in recommend.SCORERS.items()))
-        marked = sums.join(out.toDF("held"), F.col("candidate") == F.col("held"), "left").join(negatives, F.col("candidate") == F.col("neg"), "left")
+        marked = sums.join(out.toDF("held", "is_new"), F.col("candidate") == F.col("held"), "left").join(negatives, F.col("candidate") == F.col("neg"), "left")
         scores = F.array(*(F.struct(F.lit(n).alias("scorer"), (F.col(n) / F.col("degree") if n == "lift" else F.col(n)).alias("score")) for n in recommend.SCORERS))
-        rows = marked.select(F.lit(fold).alias("fold"), "candidate", "degree", "held", "neg", F.inline(scores))
+        rows = marked.select(F.lit(fold).alias("fold"), "candidate", "degree", "held", "is_new", "neg", F.inline(scores))
         rows = materialize(rows.select("*", F.explode(F.array(*map(F.lit, FLOORS))).alias("floor")).where("degree >= floor"))
         everyone = rows if everyone is None else everyone.unionByName(rows)
     by = ["fold", "scorer", "floor"]
     order = Window.partitionBy(*by).orderBy(F.round("score", 9).desc(), F.col("candidate"))
     top = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    halves = lambda what: [] if since is None else [F.count_if(~F.col("is_new")).alias(f"old_{what}"), F.count_if("is_new").alias(f"new_{what}")]
     shipped = everyone.where("neg is null")
-    pool = shipped.groupBy("scorer", "floor").agg(F.count("*").alias("pool"), F.count("held").alias("held_in_pool"))
-    hits = top(shipped).groupBy("scorer", "floor").agg(F.count("held").alias("hits"), F.coalesce(F.sum(F.when(F.col("held").isNotNull(), F.col("rank"))), F.lit(0)).alias("hit_rank_sum"))
+    pool = shipped.groupBy("scorer", "floor").agg(F.count("*").alias("pool"), F.count("held").alias("held_in_pool"), *halves("in_pool"))
+    hits = top(shipped).groupBy("scorer", "floor").agg(F.count("held").alias("hits"), F.coalesce(F.sum(F.when(F.col("held").isNotNull(), F.col("rank"))), F.lit(0)).alias("hit_rank_sum"), *halves("hits"))
     bad = top(everyone).groupBy("scorer", "floor").agg(F.count("neg").alias("negatives_offered"), F.coalesce(F.sum(F.when(F.col("neg").isNotNull(), F.col("rank"))), F.lit(0)).alias("negative_rank_sum"))
     return bad.join(pool, ["scorer", "floor"], "left").join(hits, ["scorer", "floor"], "left").fillna(0)
 

@@ -47,12 +47,16 @@ def mint(log: DataFrame, names: DataFrame) -> DataFrame:
     return numbered.join(F.broadcast(next_local(log).withColumn("j", F.lit(1))), "j").select(F.concat(F.lit("Q00"), (F.col("number") + F.col("k")).cast("string")).alias("local_qid"), "name", "kind")
 
 
-def retraction_effect(log: DataFrame, retractions: DataFrame) -> DataFrame:
-    """One row: what stops being projected if these retractions are appended."""
-    before, after = Fold(log), Fold(log.unionByName(retractions))
+def retraction_effect(log: DataFrame, retractions: DataFrame, before: Fold | None = None) -> DataFrame:
+    """One row: what stops being projected if these retractions are appended to the log, which `before` is the fold of, if there is one."""
+    before, after = before or Fold(log, keep=True), Fold(log.unionByName(retractions), keep=True)
     nodes = before.nodes.select("qid").join(after.nodes.select("qid"), "qid", "left_anti").agg(F.count("*").alias("nodes_lost"))
     key = ["from_qid", "type_code", "to_qid"]
     edges = before.edges.select(key).join(after.edges.select(key), key, "left_anti").agg(F.count("*").alias("edges_lost"))
-    emptied = after.emptied.join(before.emptied, "qid", "left_anti").agg(F.count("*").alias("newly_emptied"))
+    gone = after.emptied.join(before.emptied, "qid", "left_anti")
+    emptied = gone.agg(F.count("*").alias("newly_emptied"))
+    # Edges that lose an end because nothing holds the canonical any more, an edge between two of them once.
+    at = [before.edges.select(*key, F.col(end).alias("qid")).join(gone, "qid", "left_semi").select(key) for end in ("from_qid", "to_qid")]
+    stranded = at[0].unionByName(at[1]).distinct().agg(F.count("*").alias("edges_stranded"))
     j = lambda d: d.withColumn("j", F.lit(1))
-    return j(nodes).join(j(edges), "j").join(j(emptied), "j").drop("j")
+    return j(nodes).join(j(edges), "j").join(j(emptied), "j").join(j(stranded), "j").drop("j")

@@ -225,6 +225,48 @@ union all {rows(3, ['}'])}"""
     return {"export_graphml_lines": graphml, "export_dot_lines": dotted}
 
 
+def _grid() -> str:
+    """The hold-out grid over all folds at once."""
+    scored = " union all ".join(f"select fold, candidate, degree, '{n}' scorer, sum(w1 * w2 / {d})" + (" / degree" if n == "lift" else "") + " score from ev group by fold, candidate, degree" for n, d in _DISCOUNT.items())
+    order = "row_number() over (partition by fold, scorer, floor order by round(score, 9) desc, candidate)"
+    return f""",
+age as (select qid, updated_at >= timestamp '2026-06-01' is_new from resolved),
+held as materialized (select r.qid, ((row_number() over (order by r.qid) - 1) % 5)::int fold from resolved r join nodes n using (qid) where r.rating >= 4 and n.kind in ('PERSON', 'GROUP') and r.qid not in (select qid from file)),
+turns as (select fold::int fold from range(5) g(fold)),
+kept as materialized (select k.fold, r.qid, r.rating from turns k join resolved r on true where (k.fold, r.qid) not in (select (fold, qid) from held)),
+told as materialized (select k.fold, f.qid from turns k join file f on true union select fold, qid from kept where rating >= 4),
+ev as materialized (
+  select s.fold, b.dst candidate, dc.degree, dv.degree via_degree, a.w * coalesce(r.rating / 3.0, 1.0) w1, b.w_to w2
+  from told s join nodes o on o.qid = s.qid join strong a on a.src = s.qid join strong b on a.dst = b.src join degrees dv on dv.qid = a.dst join degrees dc on dc.qid = b.dst join nodes n on n.qid = b.dst
+  left join kept r on r.fold = s.fold and r.qid = s.qid left join told z on z.fold = s.fold and z.qid = b.dst
+  where z.qid is null and a.dst not in (select qid from hubs) and b.dst not in (select "local" from merges) and n.kind in ('PERSON', 'GROUP')),
+every as materialized (
+  select s.*, g.floor, h.qid held, x.is_new, q.qid neg from ({scored}) s join (values (2), (5), (8), (12)) g(floor) on s.degree >= g.floor
+  left join held h on h.fold = s.fold and h.qid = s.candidate left join age x on x.qid = h.qid left join kept q on q.fold = s.fold and q.qid = s.candidate and q.rating <= 2),
+shipped as (select *, {order} r from every where neg is null),
+ranked as (select *, {order} r from every),
+good as (
+  select scorer, floor, count(*) pool, count(held) held_in_pool, count(*) filter (where held is not null and not is_new) old_in_pool, count(*) filter (where held is not null and is_new) new_in_pool,
+         count(held) filter (where r <= {LIMIT}) hits, coalesce(sum(r) filter (where r <= {LIMIT} and held is not null), 0)::bigint hit_rank_sum,
+         count(held) filter (where r <= {LIMIT} and not is_new) old_hits, count(held) filter (where r <= {LIMIT} and is_new) new_hits from shipped group by 1, 2),
+bad as (select scorer, floor, count(neg) filter (where r <= {LIMIT}) negatives_offered, coalesce(sum(r) filter (where r <= {LIMIT} and neg is not null), 0)::bigint negative_rank_sum from ranked group by 1, 2)
+select scorer, floor::int floor, negatives_offered, negative_rank_sum, coalesce(pool, 0) pool, coalesce(held_in_pool, 0) held_in_pool, coalesce(old_in_pool, 0) old_in_pool, coalesce(new_in_pool, 0) new_in_pool,
+       coalesce(hits, 0) hits, coalesce(hit_rank_sum, 0) hit_rank_sum, coalesce(old_hits, 0) old_hits, coalesce(new_hits, 0) new_hits from bad left join good using (scorer, floor)"""
+
+
+def _retraction_effect() -> str:
+    """The folds of the log and of the log with the retractions, side by side."""
+    log = _plain(derived_log.LOG_SQL)
+    gone = " union all ".join(f"select 90 * {derived_log.BLOCK}, 'RETRACT', '{q}', null, null, null, null, null, null, null, 'owner', null, timestamp '2026-08-01 09:00:00', 1.0, 'gone'" for q in ("Q200000001", "Q009000004"))
+    after = BASE.replace(f"log as materialized ({log})", f"log as materialized ({log} union all {gone})")
+    edge = "select from_qid, type_code, to_qid from edges"
+    return f"""
+with nb as materialized ({BASE} select qid from nodes), na as materialized ({after} select qid from nodes), eb as materialized ({BASE} {edge}), ea as materialized ({after} {edge}),
+fresh as materialized (select * from ({after} select qid from em2) x except select * from ({BASE} select qid from em2) y)
+select (select count(*) from (from nb except from na) x) nodes_lost, (select count(*) from (from eb except from ea) x) edges_lost, (select count(*) from fresh) newly_emptied,
+       (select count(*) from eb where from_qid in (select qid from fresh) or to_qid in (select qid from fresh)) edges_stranded"""
+
+
 _POPULATIONS = """,
 listed as (select coalesce(m.canonical, f.qid) qid, min(ord) ord from file f left join merges m on m."local" = f.qid group by 1),
 seeds as materialized (select distinct coalesce(m.canonical, e.qid) qid from expanded e left join merges m on m."local" = e.qid),
@@ -287,6 +329,7 @@ select 'Q2' || lpad(s_suppkey::varchar, 8, '0') from_qid, 'MEMBER_OF' type_code,
        case when s_suppkey % 2 = 0 then 0.8 else 1.0 end::double confidence, 's' || s_suppkey source_ref from supplier where s_suppkey % 9 <> 0
 union all select 'Q1', 'PERFORMED', 'Q2' || lpad(s_suppkey::varchar, 8, '0'), null, null, 0.8, 'Q2' || lpad(s_suppkey::varchar, 8, '0') || '$P175$Q1' from supplier"""
     out |= {name: BASE + sql for name, sql in _documents().items()}
+    out |= {"eval_grid": BASE + _grid(), "retraction_effect": _retraction_effect()}
     out |= {name: BASE + _POPULATIONS + sql for name, sql in _populations().items()}
     out["kinds_derived"] = "select p_partkey, case when p_partkey % 13 = 0 then 'PLACE' when p_partkey % 8 = 0 then 'PERSON' when p_partkey % 3 = 0 then 'WORK' when p_partkey % 5 = 0 then 'GROUP' when p_partkey % 7 = 0 then 'EVENT' when p_partkey % 11 = 0 then 'PLACE' else 'CONCEPT' end kind from part"
     out["entity_facts"] = """

@@ -182,12 +182,12 @@ def _statements(w: World) -> DataFrame:
 
 
 def _grid(w: World) -> DataFrame:
-    return evaluate.grid(w.nodes, w.edges, w.degrees, w.hubs, w.file, w.resolved, w.fold.merges)
+    return evaluate.grid(w.nodes, w.edges, w.degrees, w.hubs, w.file, w.resolved, w.fold.merges, since=F.to_timestamp(F.lit("2026-06-01")))
 
 
 def _retraction_effect(w: World) -> DataFrame:
-    some = w.log.where("kind = 'NODE' and qid = 'Q200000001'").withColumns({"kind": F.lit("RETRACT"), "seq": F.lit(90 * derived_log.BLOCK), "reason": F.lit("gone")})
-    return writes.retraction_effect(w.log, some)
+    some = w.log.where("kind in ('NODE', 'LOCAL') and qid in ('Q200000001', 'Q009000004')").withColumns({"kind": F.lit("RETRACT"), "seq": F.lit(90 * derived_log.BLOCK), "reason": F.lit("gone")})
+    return writes.retraction_effect(w.log, some, w.fold)
 
 
 def _streamed(w: World) -> DataFrame:
