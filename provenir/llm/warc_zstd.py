@@ -226,7 +226,8 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema)
 
-    return manifest.select("path").repartition("path").mapInArrow(read, RECORDS_DDL)
+    # As many tasks as archives: the manifest is small, and adaptive execution would read all of them in one.
+    return manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(read, RECORDS_DDL)
 
 
 def op11_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
