@@ -39,7 +39,10 @@ class Fold:
     keep: bool = False
 
     def _kept(self, df: DataFrame) -> DataFrame:
-        return materialize(df) if self.keep else df
+        return self._table(df) if self.keep else df
+
+    def _table(self, df: DataFrame) -> DataFrame:
+        return materialize(df)
 
     @cached_property
     def surviving(self) -> DataFrame:
@@ -100,26 +103,30 @@ class Fold:
         made = first.selectExpr("canonical qid", "x.was.node_kind kind", "x.was.label label", "x.seq seq")
         return made.join(self._local_claims.select("qid").distinct(), "qid", "left_anti").join(emptied.toDF("qid"), "qid", "left_anti")
 
+    def _reached(self) -> DataFrame:
+        """Canonical ids of merges whose local was retracted later."""
+        cut = self.log.where("kind = 'RETRACT'").groupBy(F.col("qid").alias("_q")).agg(F.max("seq").alias("_cut"))
+        return self.log.where("kind = 'SAME_AS'").join(cut, F.expr("qid = _q and _cut > seq")).selectExpr("to_qid qid").distinct()
+
     @cached_property
     def emptied(self) -> DataFrame:
         """Canonical ids whose local was retracted after the merge and that nothing holds: a fixed point from none.
 
-        The set only concerns merged ids, so each round's membership is a small aggregate; the loop compares sizes and a hash.
+        Only ids of merges are concerned. The set grows from round to round, since what is emptied withdraws edges that may
+        have held others; where no edge names the canonical of a superseded merge, the first round is the last.
         """
-        cut = self.log.where("kind = 'RETRACT'").groupBy(F.col("qid").alias("_q")).agg(F.max("seq").alias("_cut"))
-        merged = self.log.where("kind = 'SAME_AS'")
-        reached = merged.join(cut, F.expr("qid = _q and _cut > seq")).selectExpr("to_qid qid").distinct()
-        reached = materialize(reached)
+        reached = self._table(self._reached().join(self._local_claims.select("qid").distinct(), "qid", "left_anti"))
         if reached.isEmpty():
             return reached
-        held = self._local_claims.select("qid").distinct()
-        now, before = reached.limit(0), None
+        round_ = lambda now: self._table(reached.join(self._stand_ins(now).select("qid"), "qid", "left_anti"))
+        now = round_(reached.limit(0))
+        if now.isEmpty() or self._about_superseded.isEmpty():
+            return now
         while True:
-            now = materialize(reached.join(held, "qid", "left_anti").join(self._stand_ins(now).select("qid"), "qid", "left_anti"))
-            state = now.agg(F.count("*"), F.sum(F.crc32("qid"))).head()
-            if state == before:
+            after = round_(now)
+            if after.join(now, "qid", "left_anti").isEmpty():
                 return now
-            before = state
+            now = after
 
     @cached_property
     def stand_ins(self) -> DataFrame:

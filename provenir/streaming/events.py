@@ -1,14 +1,9 @@
-"""Windows over the event stream, and the log refolded as it arrives."""
+"""Windows over the event stream."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from provenir.operators.fold import Fold
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -17,16 +12,3 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 m
     timed = events.withWatermark("ts", late) if events.isStreaming else events
     grouped = timed.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return grouped.select(F.col("w.start").alias("begins"), "event_type", "n", "total")
-
-
-def refold(stream: DataFrame, history: Callable[[], DataFrame], sink: Callable[[DataFrame, DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Appends arriving log rows and hands the refolded nodes and edges to sink(nodes, edges, batch).
-
-    A retraction reaches backwards over the whole log, so each batch folds the history, in which it stands already.
-    """
-
-    def on_batch(batch: DataFrame, number: int) -> None:
-        f = Fold(history().unionByName(batch))
-        sink(f.nodes, f.edges, number)
-
-    return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).start()
