@@ -123,17 +123,17 @@ def _ranked(scorer: str) -> str:
     return f"select row_number() over (order by round(score, 9) desc, candidate) as rank, * from ({_scored(scorer)}) s qualify rank <= {LIMIT}"
 
 
-def _paths(hops: int) -> str:
+def _paths(hops: int, start: str = CUSTOMER, goal: str = SUPPLIER) -> str:
     return f""", recursive_paths as (
   with recursive walk as (
-    select '{CUSTOMER}' cur, ['{CUSTOMER}'] walked, '{CUSTOMER}' signature, cast('infinity' as double) weakest, 0 hubs, false guess, 0 length
+    select '{start}' cur, ['{start}'] walked, '{start}' signature, cast('infinity' as double) weakest, 0 hubs, false guess, 0 length
     union all
     select h.dst, list_append(w.walked, h.dst), w.signature || case when h.backwards then ' <-[' || h.type_code || ']- ' else ' -[' || h.type_code || ']-> ' end || h.dst,
-           least(w.weakest, h.best), w.hubs + case when h.dst <> '{SUPPLIER}' and h.dst in (select qid from hubs) then 1 else 0 end, w.guess or h.guess, w.length + 1
+           least(w.weakest, h.best), w.hubs + case when h.dst <> '{goal}' and h.dst in (select qid from hubs) then 1 else 0 end, w.guess or h.guess, w.length + 1
     from walk w join half h on h.src = w.cur
-    where w.length < {hops} and w.cur <> '{SUPPLIER}' and not list_contains(w.walked, h.dst)
-      and (w.length < {hops} - 1 or h.dst = '{SUPPLIER}'))
-  select length, signature, weakest, hubs, guess from walk where cur = '{SUPPLIER}')"""
+    where w.length < {hops} and w.cur <> '{goal}' and not list_contains(w.walked, h.dst)
+      and (w.length < {hops} - 1 or h.dst = '{goal}'))
+  select length, signature, weakest, hubs, guess from walk where cur = '{goal}')"""
 
 
 def _grid_free() -> dict[str, str]:
@@ -187,6 +187,11 @@ def _grid_free() -> dict[str, str]:
         "deck_revision": "select r.qid, r.rating, d.degree from resolved r join degrees d using (qid) where r.rating = 5 and (r.qid in (select qid from known) or r.qid in (select qid from suppressed))",
         "deck_fresh": f", top as (select candidate, rank from ({_ranked('resource_allocation')}) r where candidate not in (select qid from resolved)), mine as (select distinct k.qid, d.degree from known k join degrees d using (qid) where k.qid not in (select qid from resolved)), a as (select qid, row_number() over (order by degree desc, qid) k from mine qualify k <= 200), b as (select candidate qid, row_number() over (order by rank) k from top), cards as (select qid, 'known' source, k + (k - 1) // 4 place from a union all select qid, 'candidate', 5 * k from b) select row_number() over (order by place, source, qid) slot, qid, source from cards qualify slot <= 200",
         **{f"rec_{s}": f"select rank, candidate, degree, round(score, 6) score, known_reached, intermediates from ({_ranked(s)}) r" for s in _DISCOUNT},
+        "refold_nodes": "select qid, kind, label, classes from nodes",
+        "refold_edges": f"select {_EDGE} from edges",
+        "find_paths": _paths(4, SUPPLIER, PART) + " select *, row_number() over (order by guess, hubs, weakest desc, length, signature) as rank, greatest(0, count(*) over () - 50)::bigint omitted from recursive_paths qualify rank <= 50",
+        "reverse_top": ", rev as (select distinct to_qid seed, case type_code when 'PERFORMED' then 'P175' else 'P50' end property, qid other, substr(qid, 3)::bigint * 37 % 101 sitelinks from log where kind = 'EDGE' and type_code in ('PERFORMED', 'AUTHORED')), offered as (select *, count(*) over (partition by seed) > 3 cut from rev where seed <> other) select seed, property, other, sitelinks, cut, label from (select * from offered qualify row_number() over (partition by seed order by sitelinks desc, other, property) <= 3) o left join nodes n on n.qid = o.other",
+        "sources_expanded": "select seed, source_id, type_code, to_qid, 1::bigint place from (select 'Q2' || lpad(s_suppkey::varchar, 8, '0') seed, case when s_suppkey % 9 <> 0 then 'wikidata' else 'musicbrainz' end source_id, case when s_suppkey % 9 <> 0 then 'MEMBER_OF' else 'PART_OF' end type_code, 'Q4' || lpad(s_nationkey::varchar, 8, '0') to_qid from supplier union all select 'Q1' || lpad(c_custkey::varchar, 8, '0'), 'musicbrainz', 'PART_OF', 'Q4' || lpad(c_nationkey::varchar, 8, '0') from customer where c_custkey % 50 = 0) x where seed in (select qid from nodes where kind in ('GROUP', 'PERSON'))",
         "paths_2hop": _paths(2) + " select * from recursive_paths",
         "paths_3hop": _paths(3) + " select * from recursive_paths",
         "paths_ranked_top50": _paths(3) + " select *, row_number() over (order by guess, hubs, weakest desc, length, signature) as rank from recursive_paths qualify rank <= 50",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -13,8 +14,9 @@ from provenir.functions.kinds import rederive
 from provenir.functions.names import name_fold
 from provenir.operators import census, evaluate, expand, export, fold, graph, paths, population, recommend, resolve, taste, writes
 from provenir.plans import oracle
-from provenir.sources import derived_log, entities, statements
-from provenir.sources.shared import materialize
+from provenir.sources import derived_log, entities, spi, statements
+from provenir.sources.shared import materialize, shared_folder
+from provenir.streaming.incremental import GraphState
 
 CUSTOMER, SUPPLIER, PART = "Q100000001", "Q200000001", "Q300000001"
 DAY = datetime.date(2000, 1, 1)
@@ -59,6 +61,18 @@ class World:
         withheld = taste.not_offered(self.resolved, self.fold.merges)
         return recommend.sweep(self.nodes, self.edges, self.degrees, self.hubs, self.known, withheld, taste.regard_for_interest(self.interest))
 
+    @cached_property
+    def state(self) -> GraphState:
+        """The log applied in three batches: what sources said first; merges, what the owner said, and sources' rows that come late; retractions
+        and what came after them."""
+        state = GraphState(self.spark, f"{shared_folder(self.spark)}/provenir-state-{uuid.uuid4().hex}")
+        block = F.floor(F.col("seq") / derived_log.BLOCK)
+        late = (block == 16) & (F.col("seq") % 64 == 5) | (block == 2) & (F.col("seq") % 10 == 3)
+        number = F.when(block >= 40, 2).when((block >= 30) | late, 1).otherwise(0)
+        for k in range(3):
+            state.apply(self.log.where(number == k), k)
+        return state
+
     @property
     def expanded(self) -> DataFrame:
         return census.expanded_seeds(self.log)
@@ -185,6 +199,40 @@ def _grid(w: World) -> DataFrame:
     return evaluate.grid(w.nodes, w.edges, w.degrees, w.hubs, w.file, w.resolved, w.fold.merges, since=F.to_timestamp(F.lit("2026-06-01")))
 
 
+def _reverse_top(w: World) -> DataFrame:
+    """What points at parts and orders, the best known three of each, with labels."""
+    prop = F.when(F.col("type_code") == "PERFORMED", "P175").when(F.col("type_code") == "AUTHORED", "P50")
+    rows = w.log.where("kind = 'EDGE' and type_code in ('PERFORMED', 'AUTHORED')").select(F.col("to_qid").alias("seed"), prop.alias("property"), F.col("qid").alias("other"), (F.substring("qid", 3, 20).cast("long") * 37 % 101).alias("sitelinks"))
+    top = statements.top_reverse_rows(rows, 3)
+    return top.join(w.nodes.select(F.col("qid").alias("other"), "label"), "other", "left").select("seed", "property", "other", "sitelinks", "cut", "label")
+
+
+def _statement_file(w: World, rows: DataFrame, prop: str) -> DataFrame:
+    """rows(qid, object, rank) as a file of statements, read by the data source."""
+    folder = f"{shared_folder(w.spark)}/provenir-statements-{uuid.uuid4().hex}"
+    line = F.concat(F.lit('{"id":"'), "qid", F.lit(f'","claims":{{"{prop}":[{{"rank":"'), "rank", F.lit('","mainsnak":{"snaktype":"value","datavalue":{"value":{"id":"'), "object", F.lit('"}}}}]}}'))
+    rows.select(line).write.text(folder)
+    return spi.read_statement_files(w.spark, folder)
+
+
+def _sources_expanded(w: World) -> DataFrame:
+    """One claim for each supplier and some customers: the first source knows suppliers alone, the second both."""
+    ids = "concat('Q2', lpad(cast(s_suppkey as string), 8, '0')) qid", "concat('Q4', lpad(cast(s_nationkey as string), 8, '0')) object"
+    supplier = w.spark.read.parquet(f"{w.sf_dir}/supplier.parquet")
+    customer = w.spark.read.parquet(f"{w.sf_dir}/customer.parquet").where("c_custkey % 50 = 0")
+    people = customer.selectExpr("concat('Q1', lpad(cast(c_custkey as string), 8, '0')) qid", "concat('Q4', lpad(cast(c_nationkey as string), 8, '0')) object", "'normal' rank")
+    first = supplier.selectExpr(*ids, "case when s_suppkey % 9 = 0 then 'deprecated' else 'normal' end rank").unionByName(people)
+    second = supplier.where("s_suppkey % 3 = 0").selectExpr(*ids, "'normal' rank").unionByName(people)
+    adapters = spi.Adapters(spi.StatementAdapter("wikidata", _statement_file(w, first, "P463"), kinds=("GROUP",)), spi.StatementAdapter("musicbrainz", _statement_file(w, second, "P361")))
+    kept = adapters.expand(w.nodes.where("kind in ('GROUP', 'PERSON')").select("qid", "kind"), 1)
+    return kept.select("seed", "source_id", "type_code", "to_qid", F.col("place").cast("long").alias("place"))
+
+
+def _find_paths(w: World) -> DataFrame:
+    found = paths.find_paths(w.nodes, w.edges, w.hubs, SUPPLIER, PART, 4)
+    return found.withColumns({"length": F.col("length").cast("long"), "hubs": F.col("hubs").cast("long")})
+
+
 def _retraction_effect(w: World) -> DataFrame:
     some = w.log.where("kind in ('NODE', 'LOCAL') and qid in ('Q200000001', 'Q009000004')").withColumns({"kind": F.lit("RETRACT"), "seq": F.lit(90 * derived_log.BLOCK), "reason": F.lit("gone")})
     return writes.retraction_effect(w.log, some, w.fold)
@@ -218,6 +266,11 @@ WORLD: dict[str, Callable[[World], DataFrame]] = {
     "paths_2hop": _paths(2),
     "paths_3hop": _paths(3),
     "paths_ranked_top50": _paths(3, 50),
+    "find_paths": _find_paths,
+    "refold_nodes": lambda w: w.state.nodes().select("qid", "kind", "label", F.array_join("instance_of", " ").alias("classes")),
+    "refold_edges": lambda w: _edge_rows(w.state.edges()),
+    "reverse_top": _reverse_top,
+    "sources_expanded": _sources_expanded,
     "neighbourhood_depth2": lambda w: graph.neighbourhood(w.edges, CUSTOMER, 2).select("from_qid", "type_code", "to_qid"),
     "induced_subgraph": lambda w: graph.induced(w.edges, w.known.select("qid")).select("from_qid", "type_code", "to_qid"),
     "isolated_members": lambda w: w.lonely,
@@ -282,12 +335,19 @@ WORLD: dict[str, Callable[[World], DataFrame]] = {
 }
 
 
-_worlds: dict[tuple[str, str], World] = {}
+_worlds: dict[tuple, World] = {}
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple:
+    """Sizes and times of the tables' files, so that changed tables are folded anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in listed))
 
 
 def world(spark: SparkSession, sf_dir: str) -> World:
     """One for each session and set of tables, so the log is folded once for all queries."""
-    key = spark.sparkContext.applicationId, sf_dir
+    key = spark.sparkContext.applicationId, sf_dir, _files(spark, sf_dir)
     if key not in _worlds:
         _worlds[key] = World(spark, sf_dir)
     return _worlds[key]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenir.functions.names import day_of
@@ -25,7 +25,12 @@ def _sourced(references: Column) -> Column:
 
 
 def statements_to_edges(entities: DataFrame, fallback: bool = False) -> DataFrame:
-    """entities(qid, json) -> from_qid, type_code, to_qid, valid_from, valid_to, confidence, source_ref.
+    """entities(qid, json) -> from_qid, type_code, to_qid, valid_from, valid_to, confidence, source_ref; see stated_edges."""
+    return stated_edges(entities, fallback).drop("seed")
+
+
+def stated_edges(entities: DataFrame, fallback: bool = False) -> DataFrame:
+    """entities(qid, json) -> seed (the entity whose statement it is), from_qid, type_code, to_qid, valid_from, valid_to, confidence, source_ref.
 
     Statements without a value, deprecated, or of an unknown property are dropped; dates of an interval that ends before it begins go.
     """
@@ -39,6 +44,7 @@ def statements_to_edges(entities: DataFrame, fallback: bool = False) -> DataFram
     begin, end = (day_of(time(p)["time"], time(p)["precision"]) for p in ("P580", "P582"))
     ends = each.withColumns({"b": begin, "x": end}).withColumn("ok", F.coalesce(F.col("x") >= F.col("b"), F.lit(True)))
     return ends.select(
+        F.col("qid").alias("seed"),
         F.when(F.col("inverted"), F.col("object")).otherwise(F.col("qid")).alias("from_qid"),
         "type_code",
         F.when(F.col("inverted"), F.col("qid")).otherwise(F.col("object")).alias("to_qid"),
@@ -57,6 +63,26 @@ def reverse_rows_to_edges(rows: DataFrame) -> DataFrame:
     return known.select(a.alias("from_qid"), "type_code", b.alias("to_qid"), F.lit(0.8).alias("confidence"), ref.alias("source_ref")).distinct()
 
 
+def top_reverse_rows(rows: DataFrame, most: int) -> DataFrame:
+    """rows(seed, property, other, sitelinks) of a reverse lookup, with what others are kept apart -> seed, property, other, sitelinks, cut.
+
+    Of each seed's distinct statements the best known others come first. One more than the bound is taken, so that being cut is
+    seen and not guessed: cut says that the extra one was there too. Statements of an entity about itself and of properties without an edge
+    type, or of one used only where no lookup answers, take part in the first choice and then go, as they do in what a service answers.
+    Every task takes its own best before they meet, so a seed with very many others sends few; labels and classes are joined to what is
+    left, and not to all.
+    """
+    if most <= 0:
+        raise ValueError(f"the bound must be positive, got {most}")
+    usable = [t[1] for t in EDGE_TYPES if t[1] and t[2] != "fallbackOnly"]
+    per = Window.partitionBy("seed").orderBy(F.desc("sitelinks"), "other", "property")
+    each = rows.groupBy("seed", "property", "other").agg(F.max("sitelinks").alias("sitelinks"))
+    first = each.withColumn("_k", F.row_number().over(per)).where(F.col("_k") <= most + 1).drop("_k")
+    good = first.where((F.col("seed") != F.col("other")) & F.col("property").isin(usable) & F.col("other").rlike(r"^Q[0-9]+\z"))
+    placed = good.withColumns({"_k": F.row_number().over(per), "cut": F.count("*").over(Window.partitionBy("seed")) > most})
+    return placed.where(F.col("_k") <= most).drop("_k")
+
+
 def relations_to_edges(relations: DataFrame, bridge: DataFrame) -> DataFrame:
     """relations(seed_qid, seed_mbid, type, direction, begin, end, mbid), bridge(mbid, qid) -> edges.
 
