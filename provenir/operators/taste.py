@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PROMOTED = 4
@@ -10,14 +12,42 @@ SUPPRESSED = 2
 NEUTRAL = 0.5
 
 
-def upsert_ratings(existing: DataFrame, changes: DataFrame) -> DataFrame:
-    """Last write of each qid wins; a change without a note keeps the note that was there."""
-    both = existing.unionByName(changes)
-    return both.groupBy("qid").agg(
-        F.max_by("rating", "updated_at").alias("rating"),
-        F.max_by("note", F.when(F.col("note").isNotNull(), F.col("updated_at"))).alias("note"),
-        F.max("updated_at").alias("updated_at"),
-    )
+#: Which of two versions of a rating is the newer: a total order, so that no result depends on the order of arrival.
+NEWER = ["updated_at", "seq", "rating", "note"]
+
+
+def upsert_ratings(*versions: DataFrame) -> DataFrame:
+    """versions(qid, rating, note, updated_at, seq) -> the newest of each qid; one without a note keeps the newest note there is.
+
+    Ties on updated_at are settled by seq, the place in the log of changes, and then by the values themselves.
+    """
+    all_ = reduce(DataFrame.unionByName, versions)
+    at = F.struct(*NEWER)
+    last = all_.groupBy("qid").agg(F.max(at).alias("x"), F.max(F.when(F.col("note").isNotNull(), at)).alias("y"))
+    return last.select("qid", "x.rating", F.col("y.note").alias("note"), "x.updated_at", "x.seq")
+
+
+def carry_ratings(ratings: DataFrame, merges: DataFrame) -> DataFrame:
+    """ratings once each local's rating has followed its merge(seq, local, canonical): it becomes the canonical's where that has none or an
+    older one. The local's own row and its note stay where they are, and the canonical keeps its note. Of several locals the newest
+    counts, of equally new ones that of the first merge; carrying again changes nothing."""
+    carried = merges.select(F.col("local").alias("qid"), F.col("canonical").alias("_to"), (-F.col("seq")).alias("_first")).join(ratings, "qid")
+    best = carried.groupBy("_to").agg(F.max(F.struct("updated_at", "_first", "rating", "seq")).alias("c"))
+    own = ratings.join(best, F.col("qid") == F.col("_to"), "full")
+    newer = F.col("c").isNotNull() & (F.col("updated_at").isNull() | (F.col("c.updated_at") > F.col("updated_at")))
+    took = lambda n: F.when(newer, F.col(f"c.{n}")).otherwise(F.col(n)).alias(n)
+    return own.select(F.coalesce("qid", "_to").alias("qid"), took("rating"), "note", took("updated_at"), took("seq"))
+
+
+def note_affinity(ratings: DataFrame, qid: str, rating: int, note: str | None, at: Column, seq: int, nodes: DataFrame) -> DataFrame:
+    """ratings with one more: of an entity that the graph has, from 1 to 5; a blank note is none."""
+    if not 1 <= rating <= 5:
+        raise ValueError(f"a rating is from 1 to 5, got {rating}")
+    if nodes.where(F.col("qid") == qid).isEmpty():
+        raise ValueError(f"unknown entity: {qid}")
+    said = note.strip() if note and note.strip() else None
+    new = ratings.sparkSession.range(1).select(F.lit(qid).alias("qid"), F.lit(rating).cast("int").alias("rating"), F.lit(said).cast("string").alias("note"), at.alias("updated_at"), F.lit(seq).cast("long").alias("seq"))
+    return upsert_ratings(ratings, new)
 
 
 def combine_signals(signals: DataFrame) -> DataFrame:

@@ -187,6 +187,10 @@ def _grid_free() -> dict[str, str]:
         "deck_revision": "select r.qid, r.rating, d.degree from resolved r join degrees d using (qid) where r.rating = 5 and (r.qid in (select qid from known) or r.qid in (select qid from suppressed))",
         "deck_fresh": f", top as (select candidate, rank from ({_ranked('resource_allocation')}) r where candidate not in (select qid from resolved)), mine as (select distinct k.qid, d.degree from known k join degrees d using (qid) where k.qid not in (select qid from resolved)), a as (select qid, row_number() over (order by degree desc, qid) k from mine qualify k <= 200), b as (select candidate qid, row_number() over (order by rank) k from top), cards as (select qid, 'known' source, k + (k - 1) // 4 place from a union all select qid, 'candidate', 5 * k from b) select row_number() over (order by place, source, qid) slot, qid, source from cards qualify slot <= 200",
         **{f"rec_{s}": f"select rank, candidate, degree, round(score, 6) score, known_reached, intermediates from ({_ranked(s)}) r" for s in _DISCOUNT},
+        "ratings_carried": ", best as (select s.canonical qid, max({'u': r.updated_at, 'f': -s.seq, 'r': r.rating}) b from sa s join ratings r on r.qid = s.\"local\" where s.is_last group by 1) select coalesce(r.qid, b.qid) qid, case when r.qid is null or b.b.u > r.updated_at then b.b.r else r.rating end rating, r.note, case when r.qid is null or b.b.u > r.updated_at then b.b.u else r.updated_at end updated_at from ratings r full join best b on r.qid = b.qid",
+        "ratings_upserted": ", versions as (select 'Q1' || lpad(o_custkey::varchar, 8, '0') qid, (1 + o_orderkey % 5)::int rating, case when o_orderkey % 3 = 0 then 'note ' || o_orderkey end note, date_trunc('year', o_orderdate)::timestamp updated_at, o_orderkey seq from orders union all select qid, rating, note, updated_at, 0 from ratings where qid like 'Q1%') select qid, arg_max(rating, {'u': updated_at, 's': seq}) rating, arg_max(note, {'u': updated_at, 's': seq}) filter (where note is not null) note, max(updated_at) updated_at from versions group by 1",
+        "seeds_resolved": ", x as (select *, c_custkey % 4 way, c_custkey % 5 = 0 unfound, c_custkey % 11 = 0 or c_custkey % 13 = 0 unfit, c_custkey % 7 = 0 twice from customer) select case way when 1 then 'dr' when 3 then 'sir' else '' end || 'customer' || substr(c_name, 10) || case way when 2 then '3' else '' end key, case way when 1 then 'Dr. ' when 3 then 'Sir ' else '' end || c_name || case way when 2 then ' (3)' else '' end as name, 1::bigint n, case when unfound then 'UNRESOLVED' when unfit or twice then 'REVIEW' else 'ACCEPTED' end status, case when not unfound then 'Q1' || lpad(c_custkey::varchar, 8, '0') end qid, case when unfound then 'no candidates' when unfit then 'does not fit' when twice then 'thin margin' else 'clear' end reason, case when unfound or way = 0 then 0 else 1 end::bigint pass from x",
+        "expansion_appended": ", seeds as (select s_suppkey k, 'Q2' || lpad(s_suppkey::varchar, 8, '0') qid from supplier where s_suppkey % 10 <> 3), t as (select k, s.qid from seeds s join nodes n on n.qid = s.qid), told as (select k % 6 < 4 known from t), gone as (select count(*) n from seeds where qid not in (select qid from t)), r as (select 'wikidata' source_id, 'kept' fate, count(*) n, 1 as time from t union all select 'musicbrainz', 'kept', count(*) filter (where known), 1 from told union all select 'musicbrainz', 'no description', count(*) filter (where not known), time from told, (select unnest([1, 2]) as time) z group by time union all select 'musicbrainz', 'described', count(distinct k % 6), 1 from t where k % 6 < 4 union all select 'wikidata', 'held', count(*), 2 from t union all select 'musicbrainz', 'held', count(*) filter (where known), 2 from told union all select '', 'unknown entity', 1 + n, time from gone, (select unnest([1, 2]) as time) z union all select '', 'local entity', 1, time from (select unnest([1, 2]) as time) z union all select 'log', 'NODE', count(distinct k % 6), 0 from t where k % 6 < 4 union all select 'log', 'EDGE', (select count(*) from t) + (select count(*) filter (where known) from told), 0) select source_id, fate, n::bigint n, time::bigint as time from r where n > 0",
         "refold_nodes": "select qid, kind, label, classes from nodes",
         "refold_edges": f"select {_EDGE} from edges",
         "find_paths": _paths(4, SUPPLIER, PART) + " select *, row_number() over (order by guess, hubs, weakest desc, length, signature) as rank, greatest(0, count(*) over () - 50)::bigint omitted from recursive_paths qualify rank <= 50",

@@ -14,9 +14,10 @@ from provenir.functions.kinds import rederive
 from provenir.functions.names import name_fold
 from provenir.operators import census, evaluate, expand, export, fold, graph, paths, population, recommend, resolve, taste, writes
 from provenir.plans import oracle
-from provenir.sources import derived_log, entities, spi, statements
+from provenir.sources import derived_log, entities, log_store, spi, statements
 from provenir.sources.shared import materialize, shared_folder
 from provenir.streaming.incremental import GraphState
+from provenir.streaming.ratings import RatingState
 
 CUSTOMER, SUPPLIER, PART = "Q100000001", "Q200000001", "Q300000001"
 DAY = datetime.date(2000, 1, 1)
@@ -56,9 +57,12 @@ class World:
     def interest(self) -> DataFrame:
         return taste.interest(self.resolved, taste.combine_signals(derived_log.signals(self.spark, self.sf_dir)), self.fold.merges)
 
-    @property
+    @cached_property
     def evidence(self) -> DataFrame:
         withheld = taste.not_offered(self.resolved, self.fold.merges)
+        return materialize(self._swept(withheld))
+
+    def _swept(self, withheld: DataFrame) -> DataFrame:
         return recommend.sweep(self.nodes, self.edges, self.degrees, self.hubs, self.known, withheld, taste.regard_for_interest(self.interest))
 
     @cached_property
@@ -228,6 +232,51 @@ def _sources_expanded(w: World) -> DataFrame:
     return kept.select("seed", "source_id", "type_code", "to_qid", F.col("place").cast("long").alias("place"))
 
 
+def _ratings(w: World) -> DataFrame:
+    """The ratings as versions: place 0 in the log of changes."""
+    return derived_log.ratings(w.spark, w.sf_dir).withColumn("seq", F.lit(0).cast("long"))
+
+
+def _ratings_upserted(w: World) -> DataFrame:
+    """Orders change their customers' ratings, some at one time; three batches, the newest not last."""
+    state = RatingState(w.spark, f"{shared_folder(w.spark)}/provenir-ratings-{uuid.uuid4().hex}")
+    orders = w.spark.read.parquet(f"{w.sf_dir}/orders.parquet")
+    changes = orders.selectExpr("concat('Q1', lpad(cast(o_custkey as string), 8, '0')) qid", "cast(1 + o_orderkey % 5 as int) rating", "case when o_orderkey % 3 = 0 then concat('note ', o_orderkey) end note", "cast(date_trunc('year', o_orderdate) as timestamp) updated_at", "cast(o_orderkey as long) seq")
+    for k, part in enumerate((changes.where("seq % 3 = 1"), _ratings(w).where("qid like 'Q1%'"), changes.where("seq % 3 <> 1"))):
+        state.apply(part, k)
+    return state.current().select("qid", "rating", "note", "updated_at")
+
+
+def _seeds_resolved(w: World) -> DataFrame:
+    """Customers' names in several writings, found by the plain one alone."""
+    c = w.spark.read.parquet(f"{w.sf_dir}/customer.parquet")
+    seeds = c.selectExpr("case c_custkey % 4 when 0 then c_name when 1 then concat('Dr. ', c_name) when 2 then concat(c_name, ' (3)') else concat('Sir ', c_name) end name", "'musician' expects", "cast(c_custkey as long) ord")
+    own, other = (f"concat('Q{d}', lpad(cast(c_custkey as string), 8, '0'))" for d in (1, 9))
+    answers = c.where("c_custkey % 5 <> 0")
+    hits = answers.selectExpr("c_name spelling", "cast(0 as long) pos", f"{own} qid").unionByName(answers.where("c_custkey % 7 = 0").selectExpr("c_name spelling", "cast(1 as long) pos", f"{other} qid"))
+    about = "c_name label", "array('x') aliases", "case when c_custkey % 11 = 0 then 'WORK' else 'PERSON' end kind", "array('Q5') instance_of", "array('Q1', case when c_custkey % 13 = 0 then 'Q2' else 'Q639669' end) occupations"
+    facts = c.selectExpr(f"{own} qid", *about, "cast(10 as long) sitelinks").unionByName(c.selectExpr(f"{other} qid", *about, "cast(8 as long) sitelinks"))
+    expected = w.spark.sql("select 'musician' expects, array('PERSON', 'GROUP') kinds, cast(array() as array<string>) classes, array('Q639669') occupations")
+    return resolve.resolve_seeds(seeds, hits, facts, expected).select("key", "name", "n", "status", "qid", "reason", F.col("pass").cast("long").alias("pass"))
+
+
+def _expansion_appended(w: World) -> DataFrame:
+    """Suppliers expanded into a copy of the log: their nations once more, which it states already, parts, and brands that nothing tells of."""
+    path = f"{shared_folder(w.spark)}/provenir-log-{uuid.uuid4().hex}"
+    w.log.write.parquet(f"{path}/run=0")
+    supplier = w.spark.read.parquet(f"{w.sf_dir}/supplier.parquet").where("s_suppkey % 10 <> 3")
+    id_ = "concat('Q2', lpad(cast(s_suppkey as string), 8, '0')) qid"
+    own = supplier.selectExpr(id_, "concat('Q3', lpad(cast(1 + s_suppkey % 7 as string), 8, '0')) object", "'normal' rank")
+    new = supplier.selectExpr(id_, "concat('Q6600', cast(s_suppkey % 6 as string)) object", "'normal' rank")
+    facts = w.spark.range(4).selectExpr("concat('Q6600', id) qid", "'GROUP' kind", "concat('New ', id) label", "array('Q215380') instance_of")
+    adapters = spi.Adapters(spi.StatementAdapter("wikidata", _statement_file(w, own, "P361")), spi.StatementAdapter("musicbrainz", _statement_file(w, new, "P463")))
+    seeds = supplier.selectExpr(id_).union(w.spark.sql("select 'Q404' union all select 'Q009000003'"))
+    at = F.to_timestamp(F.lit("2026-09-01 00:00:00"))
+    told = [expand.expand_entities(w.spark, path, seeds, adapters, facts, "1", 5, at).withColumn("time", F.lit(k)) for k in (1, 2)]
+    added = log_store.read_log(w.spark, path).where(F.col("asserted_at") == at).groupBy("kind").agg(F.count("*").alias("n"))
+    return told[0].unionByName(told[1]).unionByName(added.select(F.lit("log").alias("source_id"), F.col("kind").alias("fate"), "n", F.lit(0).alias("time"))).withColumn("time", F.col("time").cast("long"))
+
+
 def _find_paths(w: World) -> DataFrame:
     found = paths.find_paths(w.nodes, w.edges, w.hubs, SUPPLIER, PART, 4)
     return found.withColumns({"length": F.col("length").cast("long"), "hubs": F.col("hubs").cast("long")})
@@ -267,6 +316,10 @@ WORLD: dict[str, Callable[[World], DataFrame]] = {
     "paths_3hop": _paths(3),
     "paths_ranked_top50": _paths(3, 50),
     "find_paths": _find_paths,
+    "ratings_carried": lambda w: taste.carry_ratings(_ratings(w), w.fold.same_as.where("last")).select("qid", "rating", "note", "updated_at"),
+    "ratings_upserted": _ratings_upserted,
+    "seeds_resolved": _seeds_resolved,
+    "expansion_appended": _expansion_appended,
     "refold_nodes": lambda w: w.state.nodes().select("qid", "kind", "label", F.array_join("instance_of", " ").alias("classes")),
     "refold_edges": lambda w: _edge_rows(w.state.edges()),
     "reverse_top": _reverse_top,

@@ -66,12 +66,3 @@ def read_claims(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def write_csv(df: DataFrame, path: str) -> None:
     """Quotes where a comma, quote or line feed asks for it; null is empty."""
     df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', nullValue="", emptyValue="")
-
-
-def append_log(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
-    """rows (without seq, with ord) as the log's next rows, appended to the log at path."""
-    last = spark.read.parquet(path).agg(F.max("seq")).head()[0] or 0
-    columns = spark.read.parquet(path).columns
-    placed = rows.withColumn("seq", F.col("ord") + F.lit(last) + 1).select(columns)
-    placed.write.mode("append").parquet(path)
-    return placed
