@@ -309,6 +309,39 @@ def _populations() -> dict[str, str]:
     }
 
 
+def _reports(q: dict[str, str], signals: str) -> dict[str, str]:
+    """Lines of reports, from the same aggregates."""
+    ord_ = lambda *c: " || '.' || ".join(f"lpad(({x})::varchar, 12, '0')" for x in c)
+    facts = lambda part, base, names, sql: " union all ".join(f"select {part} part, {base + k} place, '{label}' as label, ({c})::bigint n from one{part}" for k, (c, label) in enumerate(names.items()))
+    named = lambda part, base, name, prefix, sql: f"select {part}, {base} + row_number() over (order by {name}), '{prefix}' || {name}, n::bigint from ({sql}) x"
+    claims = {
+        "claims": "rows of the log", "retractions": "retractions", "rows_retracted": "rows they removed", "entities_retracted": "entities they name", "minted": "local entities minted", "merges_standing": "merges standing",
+        "merges_superseded": "merges superseded", "superseded_referenced": "superseded, named by an edge", "stand_ins": "stand-ins", "stand_ins_edgeless": "stand-ins without an edge",
+    }
+    totals = _populations()["census_edge_totals"]
+    census = f""", one1 as (select count(*) n from nodes), one2 as ({totals}), one3 as ({q['census_claims']}),
+body as (select 1 part, 0 place, 'nodes' as label, null::bigint n union all select 2, 0, 'edges', null union all select 3, 0, 'claims', null
+union all {facts(1, 1, {'n': 'total'}, '')} union all {named(1, 1, 'kind', '', q['census_nodes'])}
+union all {facts(2, 1, {'total': 'total', 'dangling': 'dangling', 'withdrawn': 'withdrawn'}, '')} union all {named(2, 1000, 'source_id', 'stated by ', q['census_edges_by_source'])}
+union all {named(2, 2000, 'type_code', 'of type ', q['census_edges_by_type'])} union all {named(2, 3000, 'corroboration', 'corroborated by ', q['census_edges_by_corroboration'])}
+union all {facts(3, 1, claims, '')}),
+wide as (select max(length(label)) w, max(length(n::varchar)) c from body where n is not null)
+select {ord_('part', 'place')} || '.0' ord, case when n is null then '' else rpad(label, w::int, ' ') || '  ' || lpad(n::varchar, c::int, ' ') end line from body, wide
+union all select {ord_('part', 'place')} || '.1', label from body where n is null"""
+    said = f""", ranked as materialized (select * from ({_ranked('resource_allocation')}) r), routes as (select * from ({q['rec_explained'].split('), reach as', 1)[0].replace(', ranked as (', 'with ranked2 as (') + '), reach as' + q['rec_explained'].split('), reach as', 1)[1]}) e),
+listed as (select distinct qid from known),
+num as (select (select count(*) from ranked) head, (select count(distinct candidate) from evidence) pool, (select count(*) from listed where qid in (select qid from nodes)) found, (select count(*) from listed where qid not in (select qid from nodes)) missing)
+select {ord_('0', '0')} ord, '# ' || head || ' of ' || pool || ' candidates, from ' || found || ' known entities' || case when missing > 0 then ' (' || missing || ' of the list not in the graph)' else '' end line from num
+union all select {ord_('0', '1')}, '# scored by resource_allocation; at least {FLOOR} edges'
+union all select {ord_('rank')} || '.0', printf('%3d. %.4f  %s (%s), %s: %d edges, %d known over %d between', rank, score, n.label, candidate, n.kind, r.degree, known_reached, intermediates) from ranked r join nodes n on n.qid = r.candidate
+union all select {ord_('r.rank')} || '.1.' || {ord_('k')}, '      from ' || coalesce(a.label, seed) || ' (' || seed || ') over ' || coalesce(b.label, best_via) || ' (' || best_via || ')' from routes x join ranked r using (candidate) left join nodes a on a.qid = seed left join nodes b on b.qid = best_via"""
+    signal = f"""with s as ({signals}) select lpad(k::varchar, 12, '0') ord, line from (
+select 0 k, count(*) || ' rows' line from s union all select 1, count(*) filter (where outcome = 'resolved' and qid not like 'Q00%') || ' resolved' from s union all select 2, count(*) filter (where outcome = 'resolved' and qid like 'Q00%') || ' resolved to local entities' from s
+union all select 3, count(*) filter (where outcome = 'in_review') || ' left for review' from s union all select 4, count(*) filter (where outcome = 'unanswered') || ' not answered' from s union all select 5, count(distinct qid) || ' entities with a signal' from s) x"""
+    grid = f"select scorer || '.' || lpad(floor::varchar, 12, '0') ord, printf('%-20s floor %2d: %d of %d held out hit (%d new), mean rank %s, %d disliked offered', scorer, floor, hits, held_in_pool, new_hits, case when hits > 0 then ((20 * hit_rank_sum + hits) // (2 * hits) // 10)::bigint || '.' || ((20 * hit_rank_sum + hits) // (2 * hits) % 10)::bigint else '-' end, negatives_offered) line from ({BASE}{_grid()}) g"
+    return {"report_census": BASE + census, "report_recommendations": BASE + said, "report_signals": signal, "report_evaluation": grid}
+
+
 def queries() -> dict[str, str]:
     out = {name: BASE + ("" if body.startswith(",") else " ") + body for name, body in _grid_free().items()}
     key = lambda c: f"regexp_replace(regexp_replace(lower(trim({c})), '^the\\s+', ''), '[^a-z0-9]', '', 'g')"
@@ -338,6 +371,7 @@ select 'Q2' || lpad(s_suppkey::varchar, 8, '0') from_qid, 'MEMBER_OF' type_code,
        case when s_suppkey % 2 = 0 then 0.8 else 1.0 end::double confidence, 's' || s_suppkey source_ref from supplier where s_suppkey % 9 <> 0
 union all select 'Q1', 'PERFORMED', 'Q2' || lpad(s_suppkey::varchar, 8, '0'), null, null, 0.8, 'Q2' || lpad(s_suppkey::varchar, 8, '0') || '$P175$Q1' from supplier"""
     out |= {name: BASE + sql for name, sql in _documents().items()}
+    out |= _reports(_grid_free(), out["signals_resolved"])
     out |= {"eval_grid": BASE + _grid(), "retraction_effect": _retraction_effect()}
     out |= {name: BASE + _POPULATIONS + sql for name, sql in _populations().items()}
     out["kinds_derived"] = "select p_partkey, case when p_partkey % 13 = 0 then 'PLACE' when p_partkey % 8 = 0 then 'PERSON' when p_partkey % 3 = 0 then 'WORK' when p_partkey % 5 = 0 then 'GROUP' when p_partkey % 7 = 0 then 'EVENT' when p_partkey % 11 = 0 then 'PLACE' else 'CONCEPT' end kind from part"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from provenir.functions.kinds import rederive
 from provenir.functions.names import name_fold
-from provenir.operators import census, evaluate, expand, export, fold, graph, paths, population, recommend, resolve, taste, writes
+from provenir.operators import census, evaluate, expand, export, fold, graph, paths, population, recommend, reports, resolve, taste, writes
 from provenir.plans import oracle
 from provenir.sources import derived_log, entities, log_store, spi, statements
 from provenir.sources.shared import materialize, shared_folder
@@ -277,6 +277,20 @@ def _expansion_appended(w: World) -> DataFrame:
     return told[0].unionByName(told[1]).unionByName(added.select(F.lit("log").alias("source_id"), F.col("kind").alias("fate"), "n", F.lit(0).alias("time"))).withColumn("time", F.col("time").cast("long"))
 
 
+def _report_census(w: World) -> DataFrame:
+    totals = census.edge_totals(w.edges, w.fold.edge_claims, fold.endpoints_missing(fold.merge_claims(w.fold.edge_claims.where("fate = 'kept'")), w.nodes))
+    return reports.census_report(census.nodes_by_kind(w.nodes), totals, census.edges_by_source(w.edges), census.edges_by_type(w.edges), census.edges_by_corroboration(w.edges), census.claims(w.log, w.fold))
+
+
+def _report_recommendations(w: World) -> DataFrame:
+    known, seen = reports.watch_known(w.known, w.nodes)
+    materialize(known)  # the pass that reads the list
+    e = recommend.above_floor(w.evidence)
+    top = recommend.rank(recommend.score(e, "resource_allocation"))
+    pool = e.select("candidate").distinct().count()
+    return reports.recommendation_report(w.nodes, top, recommend.explain(e, top), pool, seen.get["found"], seen.get["missing"], "resource_allocation", recommend.FLOOR)
+
+
 def _find_paths(w: World) -> DataFrame:
     found = paths.find_paths(w.nodes, w.edges, w.hubs, SUPPLIER, PART, 4)
     return found.withColumns({"length": F.col("length").cast("long"), "hubs": F.col("hubs").cast("long")})
@@ -320,6 +334,10 @@ WORLD: dict[str, Callable[[World], DataFrame]] = {
     "ratings_upserted": _ratings_upserted,
     "seeds_resolved": _seeds_resolved,
     "expansion_appended": _expansion_appended,
+    "report_census": _report_census,
+    "report_recommendations": _report_recommendations,
+    "report_signals": lambda w: reports.signals_summary(_signals_resolved(w)),
+    "report_evaluation": lambda w: reports.evaluation_report(_grid(w)),
     "refold_nodes": lambda w: w.state.nodes().select("qid", "kind", "label", F.array_join("instance_of", " ").alias("classes")),
     "refold_edges": lambda w: _edge_rows(w.state.edges()),
     "reverse_top": _reverse_top,
