@@ -8,7 +8,7 @@ from provenir.operators.recommend import FLOOR, LIMIT
 from provenir.schema import EDGE_TYPES, NODE_KINDS, SELF_STATED
 from provenir.sources import derived_log
 
-CUSTOMER, SUPPLIER, PART = "Q100000001", "Q200000001", "Q300000001"
+CUSTOMER, SUPPLIER, PART, SECOND = "Q100000001", "Q200000001", "Q300000001", "Q200000002"
 
 
 def _plain(sql: str) -> str:
@@ -136,6 +136,23 @@ def _paths(hops: int, start: str = CUSTOMER, goal: str = SUPPLIER) -> str:
   select length, signature, weakest, hubs, guess from walk where cur = '{goal}')"""
 
 
+def _path_hops(start: str, goal: str, hops: int) -> str:
+    return f""", cites as (select f, type_code tc, t, string_agg(source_id || coalesce(' ' || source_ref, ''), ', ' order by seq) c from sources group by 1, 2, 3),
+walks as (
+  with recursive walk as (
+    select '{start}' cur, ['{start}'] walked, '{start}' signature, cast('infinity' as double) weakest, 0 hubs, false guess, 0 length, cast([] as struct(a varchar, tc varchar, b varchar, back boolean)[]) steps
+    union all
+    select h.dst, list_append(w.walked, h.dst), w.signature || case when h.backwards then ' <-[' || h.type_code || ']- ' else ' -[' || h.type_code || ']-> ' end || h.dst,
+           least(w.weakest, h.best), w.hubs + case when h.dst <> '{goal}' and h.dst in (select qid from hubs) then 1 else 0 end, w.guess or h.guess, w.length + 1, list_append(w.steps, {{'a': w.cur, 'tc': h.type_code, 'b': h.dst, 'back': h.backwards}})
+    from walk w join half h on h.src = w.cur
+    where w.length < {hops} and w.cur <> '{goal}' and not list_contains(w.walked, h.dst) and (w.length < {hops} - 1 or h.dst = '{goal}'))
+  select *, row_number() over (order by guess, hubs, weakest desc, length, signature) as rank from walk where cur = '{goal}' qualify rank <= 50),
+each as (select rank, unnest(range(len(steps))) place, unnest(steps) s from walks),
+ends as (select rank, place, case when s.back then s.b else s.a end from_qid, s.tc type_code, case when s.back then s.a else s.b end to_qid, s.back backwards, s from each)
+select rank, place, from_qid, type_code, to_qid, backwards, coalesce(a.label, s.a) || case when backwards then ' <-[' || type_code || ']- ' else ' -[' || type_code || ']-> ' end || coalesce(b.label, s.b) || ' [' || c || ']' line
+from ends e join cites x on x.f = from_qid and x.tc = type_code and x.t = to_qid join nodes a on a.qid = s.a join nodes b on b.qid = s.b"""
+
+
 def _grid_free() -> dict[str, str]:
     q = {
         "log_by_kind": "select kind, count(*) n from log group by 1",
@@ -194,9 +211,11 @@ def _grid_free() -> dict[str, str]:
         "refold_nodes": "select qid, kind, label, classes from nodes",
         "refold_edges": f"select {_EDGE} from edges",
         "find_paths": _paths(4, SUPPLIER, PART) + " select *, row_number() over (order by guess, hubs, weakest desc, length, signature) as rank, greatest(0, count(*) over () - 50)::bigint omitted from recursive_paths qualify rank <= 50",
+        "path_hops": _path_hops(SUPPLIER, PART, 3),
+        "entity_view": f"select n.qid, n.kind, n.label, r.rating, r.updated_at rated_at, h.type_code, h.dst neighbour, m.kind neighbour_kind, m.label neighbour_label from nodes n left join resolved r on r.qid = n.qid left join half h on h.src = n.qid left join nodes m on m.qid = h.dst where n.qid = '{SUPPLIER}'",
         "reverse_top": ", rev as (select distinct to_qid seed, case type_code when 'PERFORMED' then 'P175' else 'P50' end property, qid other, substr(qid, 3)::bigint * 37 % 101 sitelinks from log where kind = 'EDGE' and type_code in ('PERFORMED', 'AUTHORED')), offered as (select *, count(*) over (partition by seed) > 3 cut from rev where seed <> other) select seed, property, other, sitelinks, cut, label from (select * from offered qualify row_number() over (partition by seed order by sitelinks desc, other, property) <= 3) o left join nodes n on n.qid = o.other",
         "sources_expanded": "select seed, source_id, type_code, to_qid, 1::bigint place from (select 'Q2' || lpad(s_suppkey::varchar, 8, '0') seed, case when s_suppkey % 9 <> 0 then 'wikidata' else 'musicbrainz' end source_id, case when s_suppkey % 9 <> 0 then 'MEMBER_OF' else 'PART_OF' end type_code, 'Q4' || lpad(s_nationkey::varchar, 8, '0') to_qid from supplier union all select 'Q1' || lpad(c_custkey::varchar, 8, '0'), 'musicbrainz', 'PART_OF', 'Q4' || lpad(c_nationkey::varchar, 8, '0') from customer where c_custkey % 50 = 0) x where seed in (select qid from nodes where kind in ('GROUP', 'PERSON'))",
-        "paths_2hop": _paths(2) + " select * from recursive_paths",
+        "paths_2hop": _paths(2, SUPPLIER, SECOND) + " select * from recursive_paths",
         "paths_3hop": _paths(3) + " select * from recursive_paths",
         "paths_ranked_top50": _paths(3) + " select *, row_number() over (order by guess, hubs, weakest desc, length, signature) as rank from recursive_paths qualify rank <= 50",
     }

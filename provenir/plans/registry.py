@@ -10,6 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provenir.facade import Graph
 from provenir.functions.kinds import rederive
 from provenir.functions.names import name_fold
 from provenir.operators import census, evaluate, expand, export, fold, graph, paths, population, recommend, reports, resolve, taste, writes
@@ -19,7 +20,7 @@ from provenir.sources.shared import materialize, shared_folder
 from provenir.streaming.incremental import GraphState
 from provenir.streaming.ratings import RatingState
 
-CUSTOMER, SUPPLIER, PART = "Q100000001", "Q200000001", "Q300000001"
+CUSTOMER, SUPPLIER, PART, SECOND = "Q100000001", "Q200000001", "Q300000001", "Q200000002"
 DAY = datetime.date(2000, 1, 1)
 SINCE = "2000-01-01"
 
@@ -157,9 +158,9 @@ def _explained(w: World) -> DataFrame:
     return recommend.explain(e, recommend.rank(recommend.score(e, "resource_allocation"))).select("candidate", "seed", "k", F.round("reach", 6).alias("reach"), "best_via")
 
 
-def _paths(hops: int, limit: int | None = None) -> Callable[[World], DataFrame]:
+def _paths(hops: int, limit: int | None = None, ends: tuple[str, str] = (CUSTOMER, SUPPLIER)) -> Callable[[World], DataFrame]:
     def run(w: World) -> DataFrame:
-        found = paths.simple_paths(w.edges, w.hubs, CUSTOMER, SUPPLIER, hops).withColumn("length", F.col("length").cast("long")).withColumn("hubs", F.col("hubs").cast("long"))
+        found = paths.simple_paths(w.edges, w.hubs, *ends, hops).withColumn("length", F.col("length").cast("long")).withColumn("hubs", F.col("hubs").cast("long"))
         return paths.ranked(found, limit) if limit else found
 
     return run
@@ -291,8 +292,12 @@ def _report_recommendations(w: World) -> DataFrame:
     return reports.recommendation_report(w.nodes, top, recommend.explain(e, top), pool, seen.get["found"], seen.get["missing"], "resource_allocation", recommend.FLOOR)
 
 
+def _graph(w: World) -> Graph:
+    return Graph(w.nodes, w.edges, w.hubs, w.resolved.withColumns({"note": F.lit(None).cast("string"), "seq": F.lit(0).cast("long")}))
+
+
 def _find_paths(w: World) -> DataFrame:
-    found = paths.find_paths(w.nodes, w.edges, w.hubs, SUPPLIER, PART, 4)
+    found = _graph(w).find_paths(SUPPLIER, PART, 4).drop("hops")
     return found.withColumns({"length": F.col("length").cast("long"), "hubs": F.col("hubs").cast("long")})
 
 
@@ -326,10 +331,12 @@ WORLD: dict[str, Callable[[World], DataFrame]] = {
     "degree_incident": lambda w: w.degrees,
     "degree_endpoint": lambda w: graph.degree_endpoint(w.nodes, w.edges),
     "hubs": lambda w: w.hubs,
-    "paths_2hop": _paths(2),
+    "paths_2hop": _paths(2, ends=(SUPPLIER, SECOND)),
     "paths_3hop": _paths(3),
     "paths_ranked_top50": _paths(3, 50),
     "find_paths": _find_paths,
+    "path_hops": lambda w: _graph(w).path_hops(SUPPLIER, PART, 3).withColumn("place", F.col("place").cast("long")),
+    "entity_view": lambda w: _graph(w).get_entity(SUPPLIER),
     "ratings_carried": lambda w: taste.carry_ratings(_ratings(w), w.fold.same_as.where("last")).select("qid", "rating", "note", "updated_at"),
     "ratings_upserted": _ratings_upserted,
     "seeds_resolved": _seeds_resolved,
