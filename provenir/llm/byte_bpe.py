@@ -5,7 +5,7 @@ higher-order functions fold the ranked merges over them: the state is an array w
 each step merges the leftmost pair of the lowest rank. An entry is one number: the rank that the token and its successor merge at, then the
 place where the token begins, then its id; so the least entry is the pair to merge, and no two entries are equal. The rank map is a literal:
 the pairs of tokens whose bytes join to a token, in one flat array, in which the pair (a, b) is at base[a] + b and names a as its owner. Decoding looks
-every id up in an array of binary pieces and concatenates them. Documents are independent, so there is no shuffle, and a run's size is bounded but for a single longer text.
+every id up in an array of binary pieces and concatenates them, for the distinct words of a run at once. Documents are independent, so there is no shuffle, and a run's size is bounded but for a single longer text.
 
 The fold's cost grows with the square of a word's length, so words of more than LONG bytes (runs of blanks, keys)
 are merged by a heap in the Python task that splits the text; both ways give the same ids.
@@ -156,7 +156,7 @@ def _heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool = False) -> DataFrame:
     """documents(doc_id, text) -> doc_id, ids array<int>; or with digests doc_id, n_tokens, ids_sha256 (of the decimal ids
-    joined by commas) and decoded_sha256 (of the pieces concatenated), which spares sending the ids back."""
+    joined by commas) and decoded_sha256 (of the bytes that the ids decode to), which spares sending the ids back."""
     # words: distinct, as bytes; long_ids: those of the words that come after them, merged already.
     out = "words array<array<smallint>>, long_ids array<array<int>>, docs array<struct<doc_id: bigint, at: array<int>>>"
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +187,8 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, digests:
     runs = documents.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(split, out)
     coded = F.concat(_let(rank_map(ranks), lambda m: F.transform("words", lambda w: fold_merges(w, m))), F.col("long_ids"))
     folded = runs.select(coded.alias("coded"), "docs")
+    if digests:  # each distinct word's ids are decoded where they were made; a document's bytes are those of its words
+        folded = folded.select("coded", "docs", _let(_piece_map(ranks), lambda m: F.transform("coded", lambda ids: _concatenated(ids, m))).alias("decoded"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,6 +197,7 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, digests:
                 flat, begins = coded.flatten().to_numpy(), coded.offsets.to_numpy()
                 begins = begins - begins[0]
                 at = docs.field("at")
+                decoded = batch.column("decoded")[k].values.to_pylist() if digests else []
                 words, ends = at.flatten().to_numpy(), at.offsets.to_numpy() - at.offsets[0].as_py()
                 sizes = np.diff(begins)[words]
                 upto = np.concatenate([[0], np.cumsum(sizes)])
@@ -211,11 +214,11 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, digests:
                         continue
                     each = [ids[x:y].tolist() for x, y in zip(cuts.tolist(), cuts[1:].tolist())]
                     said = [hashlib.sha256(",".join(map(numerals.__getitem__, e)).encode()).hexdigest() for e in each]
-                    back = [hashlib.sha256(b"".join(map(pieces.__getitem__, e))).hexdigest() for e in each]
+                    back = [hashlib.sha256(b"".join(map(decoded.__getitem__, words[x:y].tolist()))).hexdigest() for x, y in zip(ends[a:b].tolist(), ends[a + 1 : b + 1].tolist())]
                     yield pa.RecordBatch.from_arrays([own, pa.array([len(e) for e in each], pa.int64()), pa.array(said), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     if digests:
-        numerals, pieces = [str(k) for k in range(max(ranks.values()) + 1)], _pieces(ranks)
+        numerals = [str(k) for k in range(max(ranks.values()) + 1)]
         return folded.mapInArrow(place, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return folded.mapInArrow(place, "doc_id long, ids array<int>")
 
