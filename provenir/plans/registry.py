@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provenir.facade import Graph
@@ -126,7 +126,8 @@ def _entity_search(w: World) -> DataFrame:
     """Parts by brand as answers of a search: hits without a label go, and at most 50 are read."""
     part = w.spark.read.parquet(f"{w.sf_dir}/part.parquet")
     hit = "concat('{\"id\":\"Q', p_partkey, '\",', case when p_partkey % 4 = 0 then '' else concat('\"label\":\"', p_name, '\",') end, '\"description\":\"', p_type, '\"}')"
-    answers = part.groupBy(F.col("p_brand").alias("query")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", F.expr(hit).alias("h")))).alias("hits"))
+    first = part.withColumn("_k", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))).where("_k <= 50")  # what a search answers
+    answers = first.groupBy(F.col("p_brand").alias("query")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", F.expr(hit).alias("h")))).alias("hits"))
     answers = answers.select("query", F.concat(F.lit('{"search":['), F.array_join(F.col("hits.h"), ","), F.lit("]}")).alias("json"))
     return entities.search_hits(answers, 70).select("query", F.col("pos").cast("long").alias("pos"), "qid", "label", "description", "kind")
 
