@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from provenir.operators.graph import RECOGNITION
 from provenir.schema import SELF_STATED, directional, weight
+from provenir.sources.shared import materialize
 
 FLOOR = 5
 LIMIT = 25
@@ -25,22 +26,24 @@ SCORERS: dict[str, Callable[[Column], Column]] = {
 def sweep(nodes: DataFrame, edges: DataFrame, degrees: DataFrame, hub_ids: DataFrame, known: DataFrame, withheld: DataFrame, regard: DataFrame) -> DataFrame:
     """candidate, degree, seed, via, via_degree, w1, w2: one row for each way from a known seed over a via to a candidate.
 
-    Hubs, known and withheld ids are dropped before the join that fans out, parallel edges are reduced to their best weight
-    first, and all joins are equi-joins on ids. Candidates below a floor are still in it; see above_floor.
+    Edges of the first hop are those of known seeds, and of the second those between a via that the first hop reached and an id that may be
+    offered; only these are shuffled, and parallel ones reduced to their best weight before the join that fans out. All joins are equi-joins on ids. Candidates below a floor are still in it; see above_floor.
     """
     ends = edges.select("from_qid", "to_qid", "type_code")
     out = ends.select(F.col("from_qid").alias("src"), F.col("to_qid").alias("dst"), weight(F.col("type_code")).alias("w"), F.lit(1.0).alias("as_from"))
     into = ends.select(
         F.col("to_qid").alias("src"), F.col("from_qid").alias("dst"), weight(F.col("type_code")).alias("w"), F.when(directional(F.col("type_code")), SELF_STATED).otherwise(1.0).alias("as_from")
     )
-    half = out.unionByName(into).where("src <> dst").groupBy("src", "dst").agg(F.max("w").alias("w"), F.max(F.col("w") * F.col("as_from")).alias("w_to"))
+    half = out.unionByName(into).where("src <> dst")
     seeds = known.select("qid").distinct().join(nodes.select("qid"), "qid", "left_semi").join(regard, "qid", "left").select("qid", F.coalesce("regard", F.lit(1.0)).alias("regard"))
     vias = nodes.select("qid").join(hub_ids.select("qid"), "qid", "left_anti").join(degrees, "qid").select(F.col("qid").alias("v"), F.col("degree").alias("via_degree"))
-    one = half.join(seeds, F.col("src") == F.col("qid")).select(F.col("src").alias("seed"), F.col("dst").alias("via"), (F.col("w") * F.col("regard")).alias("w1"))
-    one = one.join(vias, F.col("via") == F.col("v")).drop("v")
+    one = half.join(seeds, F.col("src") == F.col("qid")).groupBy(F.col("src").alias("seed"), F.col("dst").alias("via")).agg((F.max("w") * F.max("regard")).alias("w1"))
+    one = materialize(one.join(vias, F.col("via") == F.col("v")).drop("v"))
     explored = nodes.where(F.col("kind").isin("PERSON", "GROUP") & ~F.coalesce(F.arrays_overlap("instance_of", F.array(*map(F.lit, RECOGNITION))), F.lit(False)))
     offered = explored.select("qid").join(known.select("qid"), "qid", "left_anti").join(withheld.toDF("qid"), "qid", "left_anti").join(degrees, "qid")
-    two = half.join(offered, F.col("dst") == F.col("qid")).select(F.col("src").alias("v2"), F.col("dst").alias("candidate"), F.col("w_to").alias("w2"), "degree")
+    passed = one.select(F.col("via").alias("src")).distinct()
+    two = half.join(offered, F.col("dst") == F.col("qid")).join(passed, "src", "left_semi")
+    two = two.groupBy(F.col("src").alias("v2"), F.col("dst").alias("candidate"), "degree").agg(F.max(F.col("w") * F.col("as_from")).alias("w2"))
     return one.join(two, F.col("via") == F.col("v2")).select("candidate", "degree", "seed", "via", "via_degree", "w1", "w2")
 
 
