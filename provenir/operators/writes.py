@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provenir.functions.names import name_fold
 from provenir.operators.fold import Fold, endpoints_missing
+from provenir.sources.log_store import numbered
 
 
 def refused_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -36,15 +37,12 @@ def next_local(log: DataFrame) -> DataFrame:
 
 
 def mint(log: DataFrame, names: DataFrame) -> DataFrame:
-    """names(name, kind, ord) -> local_qid, name, kind: one id for each folded name, by its first place in the batch.
-
-    Ids follow from the place among the batch's names, which a person wrote: a small list.
-    """
-    first = names.withColumn("_f", name_fold(F.col("name"))).groupBy("_f").agg(F.min_by(F.struct("name", "kind", "ord"), "ord").alias("x")).select("x.*")
-    from pyspark.sql import Window
-
-    numbered = first.withColumn("k", F.row_number().over(Window.orderBy("ord")) - 1).withColumn("j", F.lit(1))
-    return numbered.join(F.broadcast(next_local(log).withColumn("j", F.lit(1))), "j").select(F.concat(F.lit("Q00"), (F.col("number") + F.col("k")).cast("string")).alias("local_qid"), "name", "kind")
+    """names(name, kind, ord) -> local_qid, name, kind: one id for each folded name, by its first place in the batch, from the log's next
+    free number on. Names without a letter or digit get none."""
+    folded = names.withColumn("_f", name_fold(F.col("name"))).where("_f <> ''")
+    first = folded.groupBy("_f").agg(F.min_by(F.struct("name", "kind", "ord"), "ord").alias("x")).select("x.*")
+    placed = numbered(first, ["ord", "name"], next_local(log).head()["number"], "_n")
+    return placed.select(F.concat(F.lit("Q00"), F.col("_n").cast("string")).alias("local_qid"), "name", "kind")
 
 
 def retraction_effect(log: DataFrame, retractions: DataFrame, before: Fold | None = None) -> DataFrame:

@@ -366,6 +366,8 @@ def queries() -> dict[str, str]:
     key = lambda c: f"regexp_replace(regexp_replace(lower(trim({c})), '^the\\s+', ''), '[^a-z0-9]', '', 'g')"
     out["name_fold"] = f"select c_custkey, {key("' The ' || c_name")} folded from customer"
     out["name_groups"] = f"select folded, arg_min(name, ord) as name, count(*) n from (select 'The ' || p_name as name, p_partkey ord, {key("'The ' || p_name")} folded from part) x group by 1"
+    out["minted"] = BASE + f"""select 'Q00' || (k + (select coalesce(max(substr(id, 4)::bigint), 0) from (select qid id from log union all select to_qid from log) i where regexp_matches(id, '^Q00[0-9]+$'))) local_qid, name, 'WORK' kind
+from (select name, row_number() over (order by ord) k from (select 'The ' || p_name as name, p_partkey ord from part qualify row_number() over (partition by {key("'The ' || p_name")} order by p_partkey) = 1) x) y"""
     out["adjudicate"] = f"""
 with c as (
   select p_name as name, p_partkey pos, 'Q3' || lpad(p_partkey::varchar, 8, '0') qid, case when p_partkey % 3 = 0 then upper(p_name) else p_brand end label,

@@ -408,6 +408,7 @@ WORLD: dict[str, Callable[[World], DataFrame]] = {
     "statements_to_edges": _statements,
     "export_graphml_lines": lambda w: export.graphml_lines(w.nodes, graph.view_edges(w.edges)),
     "export_dot_lines": lambda w: export.dot_lines(w.nodes, graph.view_edges(w.edges)),
+    "minted": lambda w: writes.mint(w.log, _part_names(w).withColumn("kind", F.lit("WORK"))),
     "next_local": lambda w: writes.next_local(w.log),
     "retraction_effect": _retraction_effect,
     "eval_grid": _grid,
