@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenir.operators import population, recommend, taste
-from provenir.sources.shared import materialize
+from provenir.sources.shared import compact, materialize
 
 FOLDS = 5
 FLOORS = [2, 5, 8, 12]
@@ -29,26 +29,37 @@ def folds(resolved: DataFrame, eligible: DataFrame) -> DataFrame:
 def grid(nodes: DataFrame, edges: DataFrame, degrees: DataFrame, hub_ids: DataFrame, file: DataFrame, resolved: DataFrame, merges: DataFrame, limit: int = recommend.LIMIT, since: Column | None = None) -> DataFrame:
     """scorer, floor -> pool, held_in_pool, hits, hit_rank_sum, negatives_offered, negative_rank_sum, summed over the folds.
 
-    With since, also what of held_in_pool and hits was rated before it (old_*) and at it or later (new_*). A fold's evidence is
-    swept once for all settings.
+    With since, also what of held_in_pool and hits was rated before it (old_*) and at it or later (new_*).
+
+    All folds come from one sweep. A held-out id is known in all folds but its own, and a candidate in its own alone; what a via sums over
+    its seeds is therefore summed for each fold without that fold's ids. Held-out ids aren't on the file, so nobody else's standing or
+    regard depends on the fold.
     """
     eligible = nodes.where("kind in ('PERSON', 'GROUP')").join(file, "qid", "left_anti")
     held = folds(resolved, eligible)
     age = population.rating_age(resolved, since) if since is not None else resolved.select("qid", F.lit(None).cast("boolean").alias("is_new"))
-    held = materialize(held.join(age, "qid"))
-    everyone = None
-    for fold in range(FOLDS):
-        out = held.where(F.col("fold") == fold).select("qid", "is_new")
-        left = resolved.join(out, "qid", "left_anti")
-        negatives = left.where(F.col("rating") <= taste.SUPPRESSED).select(F.col("qid").alias("neg"))
-        evidence = recommend.sweep(nodes, edges, degrees, hub_ids, taste.known_list(file, left), merges.select("local"), taste.regard_for_ratings(left))
-        share = F.col("w1") * F.col("w2")
-        sums = evidence.groupBy("candidate", "degree").agg(*((F.sum(share / f(F.col("via_degree")))).alias(n) for n, f in recommend.SCORERS.items()))
-        marked = sums.join(out.toDF("held", "is_new"), F.col("candidate") == F.col("held"), "left").join(negatives, F.col("candidate") == F.col("neg"), "left")
-        scores = F.array(*(F.struct(F.lit(n).alias("scorer"), (F.col(n) / F.col("degree") if n == "lift" else F.col(n)).alias("score")) for n in recommend.SCORERS))
-        rows = marked.select(F.lit(fold).alias("fold"), "candidate", "degree", "held", "is_new", "neg", F.inline(scores))
-        rows = materialize(rows.select("*", F.explode(F.array(*map(F.lit, FLOORS))).alias("floor")).where("degree >= floor"))
-        everyone = rows if everyone is None else everyone.unionByName(rows)
+    held = compact(held.join(age, "qid").select(F.col("qid").alias("held"), "is_new", "fold"))
+    known = taste.known_list(file, resolved)
+    seeds = recommend.seeds_of(nodes, known, taste.regard_for_ratings(resolved)).join(held.select("held", "fold"), F.col("qid") == F.col("held"), "left").drop("held")
+    one = recommend.first_hop(edges, compact(seeds))
+    numbers = range(FOLDS)
+    there = lambda k: F.col("fold").isNull() | (F.col("fold") != k)
+    totals = one.groupBy("via").agg(*(F.sum(F.when(there(k), F.col("w1"))).alias(f"w1_{k}") for k in numbers))
+    vias = materialize(recommend.vias_of(degrees, hub_ids).join(totals, "via"))
+    always = known.select("qid").join(held.select("held"), F.col("qid") == F.col("held"), "left_anti")
+    offered = recommend.offered_of(nodes, degrees, always, merges.select("local")).join(held, F.col("qid") == F.col("held"), "left")
+    two = recommend.second_hop(edges, compact(offered)).join(vias, "via")
+    here = lambda k: F.col(f"w1_{k}").isNotNull() & (F.col("fold").isNull() | (F.col("fold") == k))
+    sums = [F.sum(F.when(here(k), F.col(f"w1_{k}") * F.col("w2") / f(F.col("via_degree")))).alias(f"{n}_{k}") for k in numbers for n, f in recommend.SCORERS.items()]
+    negatives = resolved.where(F.col("rating") <= taste.SUPPRESSED).select(F.col("qid").alias("neg"))
+    marked = two.groupBy("candidate", "degree", "held", "is_new").agg(*sums).join(negatives, F.col("candidate") == F.col("neg"), "left")
+    # A via without a seed in a fold has no sum there; a candidate has none in folds where it is known, or which no seed leads to.
+    by_fold = F.array(*(F.struct(F.lit(k).alias("fold"), *(F.col(f"{n}_{k}").alias(n) for n in recommend.SCORERS)) for k in numbers))
+    rows = marked.select("candidate", "degree", "held", "is_new", "neg", F.inline(by_fold)).where("raw is not null")
+    rows = materialize(rows)
+    scores = F.array(*(F.struct(F.lit(n).alias("scorer"), (F.col(n) / F.col("degree") if n == "lift" else F.col(n)).alias("score")) for n in recommend.SCORERS))
+    everyone = rows.select("fold", "candidate", "degree", "held", "is_new", "neg", F.inline(scores))
+    everyone = everyone.select("*", F.explode(F.array(*map(F.lit, FLOORS))).alias("floor")).where("degree >= floor")
     by = ["fold", "scorer", "floor"]
     order = Window.partitionBy(*by).orderBy(F.round("score", 9).desc(), F.col("candidate"))
     top = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
