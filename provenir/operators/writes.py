@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenir.functions.names import name_fold
 from provenir.operators.fold import Fold, endpoints_missing
 from provenir.sources.log_store import numbered
+from provenir.sources.shared import compact
 
 
 def refused_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -46,15 +49,29 @@ def mint(log: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def retraction_effect(log: DataFrame, retractions: DataFrame, before: Fold | None = None) -> DataFrame:
-    """One row: what stops being projected if these retractions are appended to the log, which `before` is the fold of, if there is one."""
+    """One row: what stops being projected if these retractions are appended to the log, which `before` is the fold of, if there is one.
+
+    The edges aren't folded again: one can be lost only if a claim of it names a retracted id or a local whose merge changed, or folds to an
+    id that was emptied or lost its node. Of these edges it is asked which the claims that are left still make.
+    """
     before, after = before or Fold(log, keep=True), Fold(log.unionByName(retractions), keep=True)
-    nodes = before.nodes.select("qid").join(after.nodes.select("qid"), "qid", "left_anti").agg(F.count("*").alias("nodes_lost"))
+    bare = compact(before.nodes.select("qid").join(after.nodes.select("qid"), "qid", "left_anti"))
+    nodes = bare.agg(F.count("*").alias("nodes_lost"))
     key = ["from_qid", "type_code", "to_qid"]
-    edges = before.edges.select(key).join(after.edges.select(key), key, "left_anti").agg(F.count("*").alias("edges_lost"))
-    gone = after.emptied.join(before.emptied, "qid", "left_anti")
+    gone = compact(after.emptied.join(before.emptied, "qid", "left_anti"))
+    moved = before.merges.exceptAll(after.merges).unionByName(after.merges.exceptAll(before.merges)).select("local")
+    named, folded = compact(retractions.select("qid").union(moved).distinct()), compact(bare.union(gone).distinct())
+    kept = lambda f: f.edge_claims.where("fate = 'kept'")
+    at = lambda rows, ids, end, how: rows.join(ids.toDF("_id"), F.col(end) == F.col("_id"), how)
+    touched = [at(kept(before), ids, end, "left_semi").selectExpr("f from_qid", "type_code", "t to_qid") for ids, ends in ((named, ("qid", "to_qid")), (folded, ("f", "t"))) for end in ends]
+    keys = at(at(reduce(DataFrame.unionByName, touched).distinct(), before.missing, "from_qid", "left_anti"), before.missing, "to_qid", "left_anti")
+    keys = compact(keys.where("from_qid is not null and to_qid is not null"))
+    left = kept(after).selectExpr("f from_qid", "type_code", "t to_qid").join(keys, key, "left_semi")
+    left = at(at(left, bare, "from_qid", "left_anti"), bare, "to_qid", "left_anti").distinct()
+    edges = keys.join(left, key, "left_anti").agg(F.count("*").alias("edges_lost"))
     emptied = gone.agg(F.count("*").alias("newly_emptied"))
     # Edges that lose an end because nothing holds the canonical any more, an edge between two of them once.
-    at = [before.edges.select(*key, F.col(end).alias("qid")).join(gone, "qid", "left_semi").select(key) for end in ("from_qid", "to_qid")]
-    stranded = at[0].unionByName(at[1]).distinct().agg(F.count("*").alias("edges_stranded"))
+    near = [at(before.edges.select(key), gone, end, "left_semi") for end in ("from_qid", "to_qid")]
+    stranded = near[0].unionByName(near[1]).distinct().agg(F.count("*").alias("edges_stranded"))
     j = lambda d: d.withColumn("j", F.lit(1))
     return j(nodes).join(j(edges), "j").join(j(emptied), "j").join(j(stranded), "j").drop("j")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from provenir.operators import graph, recommend
+from provenir.operators import graph, recommend, writes
 from provenir.operators.fold import Fold, cuts, endpoints_missing, merge_claims, survivors
 from provenir.schema import LOG
 from provenir.sources.shared import compact
@@ -69,3 +69,26 @@ def test_a_via_of_many_seeds_and_candidates_has_no_row_for_each_pair(spark):
     assert abs(got["C0"]["resource_allocation"] - over_v) < 1e-12 and abs(got["C7"]["resource_allocation"] - over_v - 0.25 * 3 / 4) < 1e-12
     head = s.ranked("resource_allocation", 1, 3).orderBy("rank").collect()
     assert [(r["candidate"], r["known_reached"]) for r in head] == [("C7", 30), ("C8", 30), ("C0", 30)]
+
+
+def test_a_retraction_loses_what_a_second_fold_lacks(spark):
+    log = _log(spark)
+    gone = spark.createDataFrame([(90, "RETRACT", "Q2") + (None,) * 4 + (None,) * 9], LOG)
+    before, after = Fold(log, keep=True), Fold(log.unionByName(gone), keep=True)
+    key = ["from_qid", "type_code", "to_qid"]
+    lost = before.edges.select(key).join(after.edges.select(key), key, "left_anti").count()
+    got = writes.retraction_effect(log, gone, before).head()
+    assert (got["nodes_lost"], got["edges_lost"], got["edges_stranded"]) == (1, lost, 0) and lost == 2
+    folds = []
+
+    class Watched(Fold):
+        def __init__(self, *args, **more):
+            super().__init__(*args, **more)
+            folds.append(self)
+
+    original, writes.Fold = writes.Fold, Watched
+    try:
+        writes.retraction_effect(log, gone, before).collect()
+    finally:
+        writes.Fold = original
+    assert folds and all("edges" not in f.__dict__ for f in folds)
