@@ -1,5 +1,7 @@
 """What is shuffled and built stays in proportion to the input."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from provenir.operators import graph, recommend, writes
@@ -45,6 +47,36 @@ def test_edges_and_dangling_are_those_of_all_merged_edges(spark):
         assert {(r["from_qid"], r["to_qid"], len(r["sources"])) for r in f.edges.collect()} == {("Q1", "Q2", 2), ("Q2", "Q3", 1), ("Q5", "Q6", 1), ("Q6", "Q7", 1), ("Q7", "Q8", 1)}
 
 
+def test_a_derived_log_gives_nodes_and_links_without_edges(spark):
+    log, whole = _log(spark), Fold(_log(spark), keep=True)
+    f = Fold(log, keep=True, derived=True)
+    assert f.nodes.count() == whole.nodes.count() and f.merges.count() == 0
+    key = ["from_qid", "type_code", "to_qid"]
+    want = sorted(map(tuple, whole.edges.select(key).collect()))
+    assert sorted(map(tuple, f.links.collect())) == want
+    assert sorted(map(tuple, graph.degree_incident(f.nodes, f.links).collect())) == sorted(map(tuple, graph.degree_incident(whole.nodes, whole.edges).collect()))
+    about = sorted(map(str, whole.edges.where("from_qid = 'Q2' or to_qid = 'Q2'").collect()))
+    assert sorted(map(str, f.edges_of("Q2").collect())) == about and len(about) == 2
+    assert "edges" not in f.__dict__ and "_stored" not in f.__dict__
+    assert sorted(map(str, f.edges.collect())) == sorted(map(str, whole.edges.collect()))
+    assert sorted(map(tuple, f.links.collect())) == want and sorted(map(str, f.edges_of("Q2").collect())) == about
+
+
+def test_claims_of_a_source_are_merged_without_sorting(spark):
+    f = Fold(_log(spark), keep=True)
+    assert "SortAggregate" not in _plan(merge_claims(f.edge_claims))
+
+
+def test_the_first_date_that_a_claim_states_counts(spark):
+    day = datetime.date
+    made = [(3, None, day(2003, 1, 1), "a", "1", 0.3), (1, None, None, "a", "1", 0.1), (2, day(2002, 1, 1), None, "a", "1", 0.2), (4, day(2004, 1, 1), day(2004, 1, 1), "b", None, 0.4), (5, None, None, "b", None, 0.5)]
+    rows = [(s, "EDGE", "Q1", "Q2", "PART_OF", None, None, None, a, b, source, ref, None, None, c, None) for s, a, b, source, ref, c in made]
+    claims = spark.createDataFrame(rows, LOG).withColumns({"f": F.col("qid"), "t": F.col("to_qid")})
+    (e,) = merge_claims(claims).collect()
+    assert (e["valid_from"], e["valid_to"], e["first_seq"]) == (day(2002, 1, 1), day(2003, 1, 1), 1)
+    assert [(x["seq"], x["source_id"], x["source_ref"], x["confidence"]) for x in e["sources"]] == [(1, "a", "1", 0.1), (4, "b", None, 0.4)]
+
+
 def test_half_edges_of_some_ids(spark):
     edges = Fold(_log(spark), keep=True).edges
     at = spark.createDataFrame([("Q2",), ("Q7",)], "qid string")
