@@ -8,6 +8,8 @@ from provenir.operators import graph, recommend, writes
 from provenir.operators.fold import Fold, cuts, endpoints_missing, merge_claims, survivors
 from provenir.schema import LOG
 from provenir.sources.shared import compact
+from provenir.streaming import state as state_tables
+from provenir.streaming.incremental import GraphState
 
 
 def _plan(df):
@@ -124,3 +126,15 @@ def test_a_retraction_loses_what_a_second_fold_lacks(spark):
     finally:
         writes.Fold = original
     assert folds and all("edges" not in f.__dict__ for f in folds)
+
+
+def test_state_keeps_claims_and_edges_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state_tables, "BUCKETS", 3)
+    state, log = GraphState(spark, tmp_path.as_uri()), _log(spark)
+    state.apply(log.where("seq < 40"), 0)
+    assert state.links.read().where("twin and source_id is not null").count() == 0 < state.links.read().where("twin").count()
+    assert state._edges.read().where("at <> from_qid and sources is not null").count() == 0 < state._edges.read().where("at <> from_qid").count()
+    state.apply(log.where("seq >= 40"), 1)  # Q4 is retracted: its edges are found from either end
+    want = Fold(log, keep=True)
+    assert sorted(map(str, state.edges().select(want.edges.columns).collect())) == sorted(map(str, want.edges.collect()))
+    assert state._edges.read().where("batch = 1 and gone and at = from_qid").count() == 2
