@@ -138,3 +138,10 @@ def test_state_keeps_claims_and_edges_once(spark, tmp_path, monkeypatch):
     want = Fold(log, keep=True)
     assert sorted(map(str, state.edges().select(want.edges.columns).collect())) == sorted(map(str, want.edges.collect()))
     assert state._edges.read().where("batch = 1 and gone and at = from_qid").count() == 2
+
+
+def test_a_hop_is_shuffled_once_by_its_via(spark):
+    edges = spark.createDataFrame([("A", "V", "MEMBER_OF"), ("B", "V", "MEMBER_OF")], "from_qid string, to_qid string, type_code string")
+    few = F.broadcast(spark.createDataFrame([("A", 1.0)], "qid string, regard double"))
+    assert _plan(recommend.first_hop(edges, few).groupBy("via").agg(F.sum("w1"))).count("Exchange hashpartitioning") == 1
+    assert _plan(recommend.second_hop(edges, few.select("qid")).groupBy("via").count()).count("Exchange hashpartitioning") == 1
