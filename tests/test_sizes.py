@@ -145,3 +145,14 @@ def test_a_hop_is_shuffled_once_by_its_via(spark):
     few = F.broadcast(spark.createDataFrame([("A", 1.0)], "qid string, regard double"))
     assert _plan(recommend.first_hop(edges, few).groupBy("via").agg(F.sum("w1"))).count("Exchange hashpartitioning") == 1
     assert _plan(recommend.second_hop(edges, few.select("qid")).groupBy("via").count()).count("Exchange hashpartitioning") == 1
+
+
+def test_hypotheses_are_found_without_the_other_edges(spark):
+    log = _log(spark)
+    more = [(60, "Q1", "Q2", "PART_OF", "llm:x"), (61, "Q1", "Q3", "PART_OF", "llm:x"), (62, "Q1", "Q3", "PART_OF", "llm:y"), (63, "Q2", "Q1", "ABOUT", "llm:x"), (64, "Q2", "Q6", None, "llm:x"), (65, "Q2", "Q7", None, "llm:x"), (66, "Q2", "Q7", None, None), (67, "Q1", "Q9", "ABOUT", "llm:x")]
+    log = log.unionByName(spark.createDataFrame([(s, "EDGE", a, b, c, None, [], a, None, None, x, str(s), None, None, 0.3, None) for s, a, b, c, x in more], LOG))
+    f, whole = Fold(log, keep=True, derived=True), Fold(log, keep=True)
+    want = sorted(map(str, graph.hypotheses(whole.edges).collect()))
+    assert sorted(map(str, f.guesses.collect())) == want and len(want) == 3
+    assert "edges" not in f.__dict__ and "_stored" not in f.__dict__
+    assert sorted(map(str, whole.guesses.collect())) == want
