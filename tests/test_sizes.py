@@ -39,6 +39,17 @@ def test_claims_are_shuffled_once(spark):
     assert _plan(merge_claims(f.edge_claims)).count("Exchange hashpartitioning") == 1
 
 
+def test_pairs_of_claims_are_shuffled_once(spark):
+    f = Fold(_log(spark), keep=True, derived=True)
+    made = []
+    f._kept = lambda df: made.append(df) or df
+    assert f.nodes and f.missing is not None  # tables that the pairs need, or that aren't theirs
+    made.clear()
+    got = sorted((r["f"], r["t"] or "") for r in f.pairs.collect())
+    assert got == [("Q1", ""), ("Q1", "Q2"), ("Q2", "Q3"), ("Q4", "Q5"), ("Q5", "Q6"), ("Q6", "Q7"), ("Q7", "Q8"), ("Q8", "Q9"), ("Q9", "Q10")]
+    assert _plan(made[-1].select("*")).count("Exchange hashpartitioning") == 1
+
+
 def test_edges_and_dangling_are_those_of_all_merged_edges(spark):
     for keep in (True, False):
         f = Fold(_log(spark), keep)
