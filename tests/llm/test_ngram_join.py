@@ -59,3 +59,24 @@ def test_one_document_of_each_group_stays(make, prose):
 def test_packing():
     x = np.sort(np.random.default_rng(0).integers(0, 1 << 40, 5000).astype(np.uint64))
     assert (_unpack(_pack(x)) == x).all()
+
+
+def test_a_task_counts_before_it_holds_many_shingles():
+    """Each flush is of little more than a million shingles, whatever the task reads."""
+    import pyarrow as pa
+    from provenir.llm import ngram_join
+
+    class Documents:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, task, _):
+            raise StopIteration(task)
+
+    try:
+        ngram_join.frequency_sketch(Documents(), 1)
+    except StopIteration as e:
+        task = e.value
+    batches = (pa.RecordBatch.from_pydict({"text": [" ".join(map(str, range(k, k + 300_000)))]}) for k in range(0, 2_400_000, 300_000))
+    held = [sum(len(b) // 5 for b in flush.column("blob").to_pylist()) for flush in task(batches)]
+    assert max(held) < 1_500_000 and sum(held) > 2_300_000
