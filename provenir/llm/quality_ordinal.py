@@ -160,8 +160,10 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordi
             yield pa.RecordBatch.from_arrays([run.column("doc_id"), run.column("grade"), pa.array([places(t) for t in texts], pa.list_(pa.int32()))], ["doc_id", "grade", "places"])
 
     got = chosen.select("doc_id", "grade", "text").mapInArrow(features, "doc_id long, grade int, places array<int>")
-    first = got.orderBy(F.xxhash64("doc_id"), "doc_id", "grade", F.hash("places")).limit(sample).collect()
-    return fit([(np.array(sorted(r["places"]), np.int32), r["grade"]) for r in first])
+    first = got.orderBy(F.xxhash64("doc_id"), "doc_id", "grade", F.hash("places")).limit(sample).select("grade", "places").toArrow()
+    # As arrays: lists of numbers would take the driver many times the space.
+    rows = [(np.sort(p.values.to_numpy()), g) for g, p in zip(first.column("grade").to_pylist(), first.column("places"))]
+    return fit(rows)
 
 
 def score(documents: DataFrame, model: OrdinalModel | None, keep: float = KEEP) -> DataFrame:

@@ -38,3 +38,16 @@ def test_own_columns_of_the_same_names(spark):
     assert out.columns == ["doc_id", "text", "a.b", "expected_grade", "tail_good", "kept"]
     assert sorted((r["doc_id"], r["a.b"], r["kept"]) for r in out.collect()) == [(1, "x", True), (2, "y", False), (3, "x", True)]
     assert score(documents.limit(0), None).count() == 0
+
+
+def test_rated_documents_reach_the_driver_as_arrays(spark, make, monkeypatch):
+    from provenir.llm import quality_ordinal
+
+    documents = make([(k, f"word{k % 3} common text") for k in range(12)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(12)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality_ordinal, "fit", seen.extend)
+    monkeypatch.setattr(type(documents), "collect", lambda _: 1 / 0)
+    quality_ordinal.train(documents, labels)
+    assert sorted(g for _, g in seen) == [0] * 6 + [2] * 6
+    assert all(p.dtype == "int32" and len(p) > 3 and (p[1:] > p[:-1]).all() for p, _ in seen)
