@@ -8,6 +8,7 @@ import pytest
 
 from provenir.operators.fold import Fold
 from provenir.schema import LOG
+from provenir.streaming import incremental
 from provenir.streaming import state as state_tables
 from provenir.streaming.incremental import GraphState, maintain
 
@@ -101,3 +102,16 @@ def test_an_empty_batch(spark, tmp_path):
     assert state.nodes().count() == 0 and state.edges().count() == 0
     state.apply(spark.createDataFrame([entry(1, "NODE", "Q1", node_kind="PERSON", label="a")], LOG), 1)
     assert state.nodes().count() == 1
+
+
+def test_a_merge_leaves_the_other_edges_of_its_canonical_alone(spark, tmp_path, monkeypatch):
+    """Of an id that a local is merged with only edges that the local's claims bear on are merged again."""
+    state, own, merged = fresh(spark, tmp_path), incremental.merge_claims, []
+    ids = [entry(k, "NODE", f"Q{k}", node_kind="PERSON", label=str(k)) for k in range(1, 30)] + [entry(50, "LOCAL", "Q001", node_kind="PERSON", label="l")]
+    links = [entry(100 + k, "EDGE", "Q1", f"Q{k}", "MEMBER_OF") for k in range(2, 30)] + [entry(200, "EDGE", "Q001", "Q5", "MEMBER_OF", ref="y"), entry(201, "EDGE", "Q7", "Q001", None)]
+    state.apply(spark.createDataFrame(ids + links, LOG), 0)
+    monkeypatch.setattr(incremental, "merge_claims", lambda claims: merged.append(claims.count()) or own(claims))
+    merge = [entry(300, "SAME_AS", "Q001", "Q1", source="owner")]
+    state.apply(spark.createDataFrame(merge, LOG), 1)
+    assert merged == [3]
+    same(state, ids + links + merge, spark)
