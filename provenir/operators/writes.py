@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenir.functions.names import name_fold
-from provenir.operators.fold import Fold, endpoints_missing
+from provenir.operators.fold import Fold, endpoints_missing, survivors
 from provenir.sources.log_store import numbered
-from provenir.sources.shared import compact
+from provenir.sources.shared import compact, materialize
 
 
 def refused_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -51,27 +51,59 @@ def mint(log: DataFrame, names: DataFrame) -> DataFrame:
 def retraction_effect(log: DataFrame, retractions: DataFrame, before: Fold | None = None) -> DataFrame:
     """One row: what stops being projected if these retractions are appended to the log, which `before` is the fold of, if there is one.
 
-    The edges aren't folded again: one can be lost only if a claim of it names a retracted id or a local whose merge changed, or folds to an
-    id that was emptied or lost its node. Of these edges it is asked which the claims that are left still make.
+    Nothing is folded as a whole, neither before nor after. A node can be lost only if its id is retracted or stands by a merge alone. An edge can
+    be lost only if a claim of it names a retracted id or a local whose merge changed, or folds to an id that was emptied or lost its node; of these
+    edges it is asked which the claims that are left still make. The claims are sought by the ids they name, so that the log is filtered
+    where it is made and only what is found is shuffled.
     """
-    before, after = before or Fold(log, keep=True), Fold(log.unionByName(retractions), keep=True)
-    bare = compact(before.nodes.select("qid").join(after.nodes.select("qid"), "qid", "left_anti"))
+    before, retractions = before or Fold(log, keep=True), materialize(retractions)
+    after = Fold(log.unionByName(retractions), keep=True, about=before._about_superseded)  # merges that it supersedes were superseded before
+    ids = lambda *tables: compact(reduce(DataFrame.unionByName, [t.toDF("qid") for t in tables]).distinct())
+    lacks = lambda a, b: a.join(b.toDF("_b"), F.col(a.columns[0]) == F.col("_b"), "left_anti")
+    cut = ids(retractions.select("qid"))
+    also = log.where("kind in ('NODE', 'LOCAL')").join(cut.toDF("_id"), F.col("to_qid") == F.col("_id"), "left_semi").select("qid")
+    asked = ids(cut, also, before.stand_ins.select("qid"), after.stand_ins.select("qid"))
+    bare = compact(lacks(_held(before, asked), _held(after, asked)))
     nodes = bare.agg(F.count("*").alias("nodes_lost"))
-    key = ["from_qid", "type_code", "to_qid"]
-    gone = compact(after.emptied.join(before.emptied, "qid", "left_anti"))
+    gone = compact(lacks(after.emptied, before.emptied))
     moved = before.merges.exceptAll(after.merges).unionByName(after.merges.exceptAll(before.merges)).select("local")
-    named, folded = compact(retractions.select("qid").union(moved).distinct()), compact(bare.union(gone).distinct())
-    kept = lambda f: f.edge_claims.where("fate = 'kept'")
+    folded = ids(bare, gone)
+    locals_ = before.merges.join(folded, F.col("canonical") == F.col("qid"), "left_semi").select("local")
+    claims = materialize(_naming(before, ids(cut, moved, folded, locals_)))
+    was = before.folded_edges(before.emptied, survivors(claims, before.cuts)).where("fate = 'kept' and f is not null and t is not null").selectExpr("f from_qid", "type_code", "t to_qid")
+    touched = materialize(was.distinct())
+    ends = ids(touched.select("from_qid"), touched.select("to_qid"))
+    missing = compact(lacks(ends, _held(before, ends)))
     at = lambda rows, ids, end, how: rows.join(ids.toDF("_id"), F.col(end) == F.col("_id"), how)
-    touched = [at(kept(before), ids, end, "left_semi").selectExpr("f from_qid", "type_code", "t to_qid") for ids, ends in ((named, ("qid", "to_qid")), (folded, ("f", "t"))) for end in ends]
-    keys = at(at(reduce(DataFrame.unionByName, touched).distinct(), before.missing, "from_qid", "left_anti"), before.missing, "to_qid", "left_anti")
-    keys = compact(keys.where("from_qid is not null and to_qid is not null"))
-    left = kept(after).selectExpr("f from_qid", "type_code", "t to_qid").join(keys, key, "left_semi")
-    left = at(at(left, bare, "from_qid", "left_anti"), bare, "to_qid", "left_anti").distinct()
-    edges = keys.join(left, key, "left_anti").agg(F.count("*").alias("edges_lost"))
+    keys = compact(at(at(touched, missing, "from_qid", "left_anti"), missing, "to_qid", "left_anti"))
+    # What still makes them: claims of their own ends, and of locals that are merged into these.
+    raw = keys.toDF("_q", "_c", "_t")
+    for end in ("_q", "_t"):
+        raw = raw.union(raw.join(after.merges, F.col(end) == F.col("canonical")).withColumn(end, F.col("local")).select("_q", "_c", "_t"))
+    raw = compact(raw)
+    same = (F.col("qid") == F.col("_q")) & F.col("type_code").eqNullSafe(F.col("_c")) & (F.col("to_qid") == F.col("_t"))
+    left = after.folded_edges(after.emptied, survivors(before.said.join(raw, same, "left_semi"), after.cuts)).where("fate = 'kept'").selectExpr("f", "type_code _c", "t").distinct()
+    left = compact(at(at(left, bare, "f", "left_anti"), bare, "t", "left_anti"))
+    edges = keys.join(left, (F.col("from_qid") == F.col("f")) & F.col("type_code").eqNullSafe(F.col("_c")) & (F.col("to_qid") == F.col("t")), "left_anti").agg(F.count("*").alias("edges_lost"))
     emptied = gone.agg(F.count("*").alias("newly_emptied"))
     # Edges that lose an end because nothing holds the canonical any more, an edge between two of them once.
-    near = [at(before.edges.select(key), gone, end, "left_semi") for end in ("from_qid", "to_qid")]
+    near = [at(keys, gone, end, "left_semi") for end in ("from_qid", "to_qid")]
     stranded = near[0].unionByName(near[1]).distinct().agg(F.count("*").alias("edges_stranded"))
     j = lambda d: d.withColumn("j", F.lit(1))
     return j(nodes).join(j(edges), "j").join(j(emptied), "j").join(j(stranded), "j").drop("j")
+
+
+def _naming(fold: Fold, ids: DataFrame) -> DataFrame:
+    """Edge claims with an end among ids(qid), each once."""
+    ids = ids.toDF("_id")
+    a = fold.said.join(ids, F.col("qid") == F.col("_id"), "left_semi")
+    return a.unionByName(fold.said.join(ids, F.col("to_qid") == F.col("_id"), "left_semi").join(ids, F.col("qid") == F.col("_id"), "left_anti"))
+
+
+def _held(fold: Fold, ids: DataFrame) -> DataFrame:
+    """Those of ids(qid) that have a node."""
+    if "nodes" in fold.__dict__:
+        return ids.join(fold.nodes.select("qid"), "qid", "left_semi")
+    claims = fold.log.where("kind in ('NODE', 'LOCAL')").join(ids.toDF("_id"), F.col("qid") == F.col("_id"), "left_semi")
+    own = survivors(claims, fold.cuts).select("qid")
+    return materialize(own.unionByName(fold.stand_ins.select("qid").join(ids, "qid", "left_semi")).distinct())

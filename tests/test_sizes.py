@@ -167,3 +167,12 @@ def test_hypotheses_are_found_without_the_other_edges(spark):
     assert sorted(map(str, f.guesses.collect())) == want and len(want) == 3
     assert "edges" not in f.__dict__ and "_stored" not in f.__dict__
     assert sorted(map(str, whole.guesses.collect())) == want
+
+
+def test_a_retraction_folds_nothing_as_a_whole(spark):
+    log = _log(spark)
+    gone = spark.createDataFrame([(90, "RETRACT", "Q2") + (None,) * 4 + (None,) * 9], LOG)
+    before = Fold(log, keep=True, derived=True)
+    got = writes.retraction_effect(log, gone, before).head()
+    assert not {"nodes", "edges", "_stored", "missing"} & set(before.__dict__)
+    assert got == writes.retraction_effect(log, gone, Fold(log, keep=True)).head() and got["edges_lost"] == 2
